@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact
+from . import embeddings, exact, simhash, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -15,8 +15,23 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.groups(_table(spark, sf_dir, "documents"))
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.classes(_table(spark, sf_dir, "documents"))
+
+
+def op10_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near(_table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     "op7_exact_dedup": op7_exact_dedup,
+    "op8_toxicity": op8_toxicity,
+    "op9_simhash_near_dedup": op9_simhash_near_dedup,
+    "op10_embedding_near_dedup": op10_embedding_near_dedup,
 }
 
 ORACLES = {
