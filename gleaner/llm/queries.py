@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embeddings, exact, mixing, packing, separators, simhash, substrings, tokenfile, toxicity
+from . import embeddings, exact, mixing, packing, quality, separators, simhash, substrings, tokenfile, toxicity
 from .tokens import public
 
 
@@ -13,6 +13,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of each document, found in flat files by their end-of-document ids (50256, which no text produces)."""
     return separators.count_tokens(_table(spark, sf_dir, "documents"), public("byte_bpe_50k.json"), 50256)
@@ -52,6 +56,7 @@ def op10_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_quality": op1_quality,
     "op2_token_counts": op2_token_counts,
     "op3_best_fit_packing": op3_best_fit_packing,
     "op4_token_files": op4_token_files,
