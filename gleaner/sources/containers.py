@@ -23,5 +23,5 @@ def rows(spark: SparkSession, x) -> DataFrame:
         x = x.to_numpy()
     if isinstance(x, np.ndarray):
         x = x.reshape(len(x), -1)
-        return spark.createDataFrame(pd.DataFrame({"row_id": np.arange(len(x)), "values": list(x.astype(float))}), "row_id long, values array<double>")
+        return spark.createDataFrame(pd.DataFrame({"row_id": np.arange(len(x)), "values": x.astype(float).tolist()}), "row_id long, values array<double>")
     raise ValueError(f"input type not supported: {type(x).__name__}")
