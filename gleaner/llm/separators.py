@@ -88,7 +88,7 @@ def scan(spark: SparkSession, folder: str, separator: int, kind: str = "<u2") ->
     blocks = keep(blobs.mapInArrow(_scan(separator, kind), "stream long, block long, n long, ends array<long>"), "separators")
     # one row a block from here on: which documents end in it, and where the first of them began
     before = Window.partitionBy("stream").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    heads = blocks.select("stream", "block", "n", F.size("ends").alias("k"), F.element_at("ends", -1).alias("last"))
+    heads = blocks.select("stream", "block", "n", F.size("ends").alias("k"), F.try_element_at("ends", F.lit(-1)).alias("last"))
     heads = heads.withColumn("base", F.coalesce(F.sum("n").over(before), F.lit(0)))
     heads = heads.withColumns(
         {
