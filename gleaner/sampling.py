@@ -33,7 +33,8 @@ class Study:
             self.test_ids = test_ids.select("config_id").distinct()
         else:
             n = ids.count()
-            self.test_ids = score.uniform_draw(ids, int(n * test_fraction), seed, score.SPLIT, n)
+            # drawn once: every later plan only joins the ids
+            self.test_ids = score.uniform_draw(ids, int(n * test_fraction), seed, score.SPLIT, n).cache()
         self.train, self.test = others(self.frame, self.test_ids), members(self.frame, self.test_ids)
         self.train_ids = config_ids(self.train)
         self._factor = None
@@ -74,10 +75,14 @@ class Sampler(Study):
         if not 0 < fraction <= 1:
             raise ValueError(f"fraction must be in (0, 1], not {fraction}")
         self.seed = self.seed if seed is None else seed
-        self.chosen = self.select(half_even(self.train_ids.count() * fraction), self.seed)
+        before, self.chosen = self.chosen, self.select(half_even(self.train_ids.count() * fraction), self.seed).cache()
+        if before is not None:
+            before.unpersist()
         return self.chosen
 
     def reset(self) -> None:
+        if self.chosen is not None:
+            self.chosen.unpersist()
         self.chosen = self.sub_coefficients = None
 
     def chosen_rows(self) -> DataFrame:
