@@ -97,25 +97,37 @@ def row_counts(frame: DataFrame) -> DataFrame:
     return frame.groupBy("config_id").agg(F.count(F.lit(1)).alias("n_rows"))
 
 
+#: Rows of a cell when an order over all rows is cut into ranges, and the most cells.
+CELL, CELLS = 100_000, 1024
+
+
+def cell_of(rows: DataFrame, column: str) -> Column:
+    """A number for each row that grows with the column, for ranges of about CELL rows between approximate quantiles."""
+    many = min(CELLS, rows.count() // CELL + 1)
+    if many == 1:
+        return F.lit(0)
+    bounds = rows.agg(F.percentile_approx(column, [i / many for i in range(1, many)], 10 * CELLS)).first()[0]
+    return F.size(F.filter(F.array(*[F.lit(b) for b in sorted(set(bounds))]), lambda b: b < F.col(column)))
+
+
 def boundaries(frame: DataFrame, order: str = "row_id", check: bool = False) -> DataFrame:
     """Runs of equal configurations in row order: (island, config_id, start_row, n_rows), the k-th run has island k.
 
-    Row order is global. It is cut into ranges first, so that a run is found within its range and only a range's edge
-    rows meet in one task. ``check`` raises if a configuration has several runs.
+    Row order is global. It is cut into cells first and runs are found within a cell; one row per cell tells how many
+    runs precede it and whether its first run goes on from the cell before. ``check`` raises if a configuration has
+    several runs.
     """
     parts = frame.select(F.col(order).alias("pos"), "config_id")
-    bounds = parts.agg(F.min("pos"), F.max("pos"), F.count(F.lit(1))).first()
-    cells = max(1, min(4096, (bounds[2] or 0) // 100_000))
-    wide = max(1, ((bounds[1] or 0) - (bounds[0] or 0)) // cells + 1)
-    cell = F.floor((F.col("pos") - F.lit(bounds[0] or 0)) / F.lit(wide)).cast("long")
-    parts = parts.withColumn("cell", cell)
+    parts = parts.withColumn("cell", cell_of(parts, "pos"))
     own = Window.partitionBy("cell").orderBy("pos")
     marked = parts.withColumn("new", F.coalesce((F.col("config_id") != F.lag("config_id").over(own)).cast("int"), F.lit(1)))
     runs = marked.withColumn("run", F.sum("new").over(own)).groupBy("cell", "run", "config_id").agg(F.min("pos").alias("start_row"), F.count(F.lit(1)).alias("n_rows"))
-    # one row a run: join runs that go on in the next cell
-    whole = Window.orderBy("cell", "run")
-    joined = runs.withColumn("new", F.coalesce((F.col("config_id") != F.lag("config_id").over(whole)).cast("int"), F.lit(1)))
-    joined = joined.withColumn("island", F.sum("new").over(whole) - 1).groupBy("island", "config_id").agg(F.min("start_row").alias("start_row"), F.sum("n_rows").alias("n_rows"))
+    # at most CELLS rows
+    cells = runs.groupBy("cell").agg(F.max("run").alias("runs"), F.min_by("config_id", "run").alias("first"), F.max_by("config_id", "run").alias("last"))
+    before = Window.orderBy("cell")
+    cells = cells.withColumn("goes_on", F.coalesce((F.col("first") == F.lag("last").over(before)).cast("int"), F.lit(0)))
+    cells = cells.withColumn("offset", F.sum(F.col("runs") - F.col("goes_on")).over(before) - F.col("runs")).select("cell", "offset")
+    joined = runs.join(F.broadcast(cells), "cell").groupBy((F.col("offset") + F.col("run") - 1).alias("island"), "config_id").agg(F.min("start_row").alias("start_row"), F.sum("n_rows").alias("n_rows"))
     if check and joined.groupBy("config_id").count().where("count > 1").take(1):
         raise ValueError("rows of a configuration are not contiguous")
     return joined
@@ -124,18 +136,24 @@ def boundaries(frame: DataFrame, order: str = "row_id", check: bool = False) ->
 def range_ends(counts: DataFrame, parts: int) -> DataFrame:
     """The cut after part i: the configuration boundary nearest to i/parts of all rows: (part, end_row, end_config).
 
-    ``counts`` has (config_id, n_rows); configurations follow each other by id.
+    ``counts`` has (config_id, n_rows); configurations follow each other by id. Running sums are taken within cells of
+    ids, on top of the sums of the cells before.
     """
     total, many = counts.agg(F.sum("n_rows"), F.count(F.lit(1))).first()
     if parts > (many or 0):
         raise ValueError(f"{parts} parts of {many} configurations")
-    ends = counts.withColumn("end_row", F.sum("n_rows").over(Window.orderBy("config_id").rowsBetween(Window.unboundedPreceding, 0)))
-    targets = [F.struct(F.lit(i).alias("part"), F.lit(total * i / parts).alias("target")) for i in range(1, parts)]
+    counts = counts.withColumn("cell", cell_of(counts, "config_id"))
+    cells = counts.groupBy("cell").agg(F.sum("n_rows").alias("sum"))
+    cells = cells.select("cell", (F.sum("sum").over(Window.orderBy("cell")) - F.col("sum")).alias("base"))
+    own = Window.partitionBy("cell").orderBy("config_id")
+    ends = counts.withColumn("run", F.sum("n_rows").over(own)).join(F.broadcast(cells), "cell").select("config_id", (F.col("base") + F.col("run")).alias("end_row"))
+    # one pass of partial minima, however many configurations there are
+    targets = [F.struct(F.lit(i).alias("part"), F.abs(F.col("end_row") - F.lit(total * i / parts)).alias("d")) for i in range(1, parts)]
     if not targets:
         return ends.limit(0).select(F.lit(1).alias("part"), "end_row", F.col("config_id").alias("end_config"))
-    far = ends.select("config_id", "end_row", F.explode(F.array(*targets)).alias("t")).withColumn("d", F.abs(F.col("end_row") - F.col("t.target")))
-    best = far.groupBy(F.col("t.part").alias("part")).agg(F.min_by(F.struct("end_row", "config_id"), F.struct("d", "end_row")).alias("best"))
-    return best.select("part", "best.end_row", F.col("best.config_id").alias("end_config"))
+    best = ends.select(*[F.min(F.struct(t["d"].alias("d"), F.col("end_row").alias("end_row"), F.col("config_id").alias("id"))).alias(f"p{i}") for i, t in enumerate(targets, 1)])
+    found = best.select(F.explode(F.array(*[F.struct(F.lit(i).alias("part"), F.col(f"p{i}.end_row").alias("end_row"), F.col(f"p{i}.id").alias("end_config")) for i in range(1, parts)])).alias("x"))
+    return found.select("x.part", "x.end_row", "x.end_config")
 
 
 def balanced_ranges(counts: list[int], parts: int) -> list[tuple[int, int]]:

@@ -52,6 +52,16 @@ def test_boundaries(spark):
     assert O.boundaries(mixed.limit(0)).count() == 0
 
 
+def test_cells_do_not_change_results(spark, monkeypatch):
+    ids = [int(i) for i in np.random.default_rng(0).integers(0, 4, 300)]
+    with pytest.warns(UserWarning):
+        f = O.build(table(spark, ids), "x", config_id="c")
+    counts = spark.createDataFrame([(i, 1 + i % 7) for i in range(300)], "config_id long, n_rows long")
+    whole = sorted(map(tuple, O.boundaries(f).collect())), sorted(map(tuple, O.range_ends(counts, 9).collect()))
+    monkeypatch.setattr(O, "CELL", 11)
+    assert (sorted(map(tuple, O.boundaries(f).collect())), sorted(map(tuple, O.range_ends(counts, 9).collect()))) == whole
+
+
 def test_balanced_ranges(spark):
     assert O.balanced_ranges([10, 5, 20, 3, 12], 2) == [(0, 15), (15, 50)]
     assert O.balanced_ranges([10] * 4, 2) == [(0, 20), (20, 40)]
