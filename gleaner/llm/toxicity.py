@@ -2,10 +2,10 @@
 
 Tokens are runs of letters, lower-cased. A token's log-odds are those of a toxic against a clean document that holds it,
 under a hierarchical Dirichlet (here Beta) prior: a stem (a token's first four letters) is shrunk towards the classes'
-shares, a token towards its stem, so an inflection never seen scores as its stem does. A constant drift is taken off
-each token, and one linear scan (Ruzzo and Tompa) finds all maximal-scoring segments of a text. Karlin-Altschul
+shares, a token towards its stem, so an inflection never seen scores as its stem does. As the odds are those of holding a token
+at all, it counts where a text first has it. A constant drift is taken off each token, and one linear scan (Ruzzo and Tompa) finds all maximal-scoring segments of a text. Karlin-Altschul
 statistics under the clean documents' scores turn a segment's score S in a text of m tokens into
-``lambda S - ln(K m)``, minus the logarithm of its expected number; the significant segments' values add up to the
+``lambda S - ln(K m)``, minus the logarithm of its expected number; the values of significant segments add up to the
 document's evidence, and a logistic curve makes it a score: that of toxicity if both classes were as frequent. The
 curve is fitted on scores from log-odds of the other half of the labelled documents.
 
@@ -37,7 +37,9 @@ SAMPLE, SEED = 5000, 5
 #: Letters of a stem, strengths of the two priors, drift per token, and the least documents a token or stem must occur in.
 STEM, STEM_PRIOR, WORD_PRIOR, DRIFT, LEAST = 4, 8.0, 8.0, 0.5, 2
 #: Tokens and stems whose log-odds are smaller than this carry no evidence.
-FAINT = 0.6
+FAINT = 0.8
+#: A segment is significant if fewer than this many of its score are expected in a clean text of that length.
+EXPECTED = 0.05
 BAR, HELD = 0.7, (3, 1)
 
 _WORDS = re.compile(r"[^\W\d_]+")
@@ -99,10 +101,18 @@ class Model:
         scores = list(map(self.known.get, words))
         if None in scores:
             scores = [self.weight(w) for w in words]
-        return len(words), scores, segments(scores) if scores and max(scores) > 0 else []
+        if not scores or max(scores) <= 0:
+            return len(words), scores, []
+        met: set[str] = set()
+        for i, s in enumerate(scores):
+            if s > 0:
+                if words[i] in met:
+                    scores[i] = -DRIFT
+                met.add(words[i])
+        return len(words), scores, segments(scores)
 
     def evidence(self, m: int, found: list[float]) -> float:
-        least = self.log_k + math.log(max(m, 1))
+        least = self.log_k + math.log(max(m, 1) / EXPECTED)
         return math.log1p(sum(max(0.0, self.rate * s - least) for s in found))
 
     def score(self, text: str | None) -> float:
