@@ -238,9 +238,9 @@ def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarra
         yield out()
 
 
-def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _shared(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.RecordBatch]:
     """Sort one bucket's blocks; tell each text which of its blocks another text has, too."""
-    for _, keys, counts, vals in _grouped(batches):
+    for bucket, keys, counts, vals in _grouped(batches):
         values = np.frombuffer(b"".join(vals), "<u4")
         of = np.repeat(keys, counts)
         order = np.argsort(values, kind="stable")
@@ -249,14 +249,67 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         several = np.minimum.reduceat(k, starts) != np.maximum.reduceat(k, starts)
         flag = np.empty(len(v), bool)
         flag[order] = np.repeat(several, np.diff(np.r_[starts, len(v)]))
-        ends = np.cumsum(counts)
-        kept = np.add.reduceat(flag, np.r_[0, ends[:-1]].astype(np.int64)) if len(ends) else np.empty(0)
-        some = np.flatnonzero(kept)
-        chosen, at = values[flag], np.r_[0, np.cumsum(kept[some])]
-        for s in range(0, len(some), 4096):
-            part = some[s : s + 4096]
-            blobs = [chosen[at[s + i] : at[s + i + 1]].tobytes() for i in range(len(part))]
-            yield pa.RecordBatch.from_arrays([pa.array(keys[part]), pa.array(blobs, pa.binary())], ["key", "shared"])
+        ends = np.r_[0, np.cumsum(counts)]
+        kept = np.diff(np.r_[0, np.cumsum(flag)][ends])
+        yield _replies(bucket, parts, keys, kept * 4, values[flag].tobytes())
+
+
+def _replies(bucket: int, parts: int, keys: np.ndarray, sizes: np.ndarray, blob: bytes) -> pa.RecordBatch:
+    """What one bucket has to tell its texts, ``sizes`` bytes each, packed by the part that gathers a text's replies.
+
+    So the number of rows is that of buckets times parts, not of buckets times texts.
+    """
+    some = np.flatnonzero(sizes)
+    at = np.r_[0, np.cumsum(sizes)]
+    part = (keys[some].view(np.uint64) % np.uint64(parts)).astype(np.int64)
+    order = some[np.argsort(part, kind="stable")]
+    cuts = np.searchsorted(np.sort(part), np.arange(parts + 1))
+    rows = []
+    for d in range(parts):
+        own = order[cuts[d] : cuts[d + 1]]
+        if len(own):
+            rows.append((d, bucket, keys[own].tobytes(), sizes[own].astype("<u4").tobytes(), b"".join([blob[at[i] : at[i + 1]] for i in own.tolist()])))
+    kinds = [pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], ["part", "bucket", "keys", "sizes", "vals"])
+
+
+_REPLIES = "part int, bucket int, keys binary, sizes binary, vals binary"
+
+
+def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Replies sorted by part -> one row per text: key, buckets, sizes, vals."""
+    names = ["key", "buckets", "sizes", "vals"]
+    now, held = None, []
+
+    def out() -> Iterator[pa.RecordBatch]:
+        keys = np.concatenate([np.frombuffer(k, np.int64) for _, k, _, _ in held])
+        sizes = np.concatenate([np.frombuffer(c, "<u4") for _, _, c, _ in held])
+        buckets = np.repeat(np.array([b for b, _, _, _ in held], "<u4"), [len(k) // 8 for _, k, _, _ in held])
+        blob = b"".join(v for _, _, _, v in held)
+        at = np.r_[0, np.cumsum(sizes, dtype=np.int64)]
+        order = np.argsort(keys, kind="stable")
+        cuts = np.r_[0, np.flatnonzero(np.diff(keys[order])) + 1, len(keys)]
+        for s in range(0, len(cuts) - 1, 4096):
+            rows = []
+            for i, j in zip(cuts[s : s + 4096].tolist(), cuts[s + 1 : s + 4097].tolist()):
+                own = order[i:j]
+                rows.append((int(keys[own[0]]), buckets[own].tobytes(), sizes[own].tobytes(), b"".join([blob[at[x] : at[x + 1]] for x in own.tolist()])))
+            kinds = [pa.int64(), pa.binary(), pa.binary(), pa.binary()]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names)
+
+    for b in batches:
+        for part, *rest in zip(*(b.column(c).to_pylist() for c in ("part", "bucket", "keys", "sizes", "vals"))):
+            if part != now:
+                if held:
+                    yield from out()
+                now, held = part, []
+            held.append(rest)
+    if held:
+        yield from out()
+
+
+def _gather(replies: DataFrame, parts: int) -> DataFrame:
+    return replies.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(_gathered, "key long, buckets binary, sizes binary, vals binary")
 
 
 def _suffixes(width: int, buckets: int):
@@ -283,7 +336,7 @@ def _suffixes(width: int, buckets: int):
 
 def _prefixes(text: pa.Scalar, shared: pa.Scalar, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     data = np.frombuffer(text.as_buffer(), np.uint8)
-    places = candidates(data, np.frombuffer(b"".join(shared.as_py()), "<u4").astype(np.uint64), width)
+    places = candidates(data, np.frombuffer(shared.as_buffer(), "<u4").astype(np.uint64), width)
     return data, places, prints(2).at(data, places, width) if len(places) else np.empty(0, np.uint64)
 
 
@@ -298,7 +351,7 @@ def _deal_suffixes(keys: list[int], found: list[np.ndarray], buckets: int) -> pa
     return _packed(list(_dealt(buckets, _bucket_of(every, buckets), every, keys, of)))
 
 
-def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _repeated(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.RecordBatch]:
     """Sort one bucket's suffixes; a bit for each tells whether its prefix occurs again."""
     for bucket, keys, counts, vals in _grouped(batches):
         values = np.frombuffer(b"".join(vals), "<u8")
@@ -308,14 +361,10 @@ def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         flag = np.zeros(len(values), bool)
         flag[order[1:][same]] = True
         flag[order[:-1][same]] = True
-        ends = np.cumsum(counts).astype(np.int64)
-        starts = ends - counts
-        any_ = np.add.reduceat(flag, starts) > 0 if len(starts) else np.empty(0, bool)
-        some = np.flatnonzero(any_)
-        for s in range(0, len(some), 4096):
-            part = some[s : s + 4096]
-            bits = [np.packbits(flag[starts[i] : ends[i]]).tobytes() for i in part.tolist()]
-            yield pa.RecordBatch.from_arrays([pa.array(keys[part]), pa.array([bucket] * len(part), pa.int32()), pa.array(bits, pa.binary())], ["key", "bucket", "bits"])
+        ends = np.r_[0, np.cumsum(counts, dtype=np.int64)]
+        hits = np.diff(np.r_[0, np.cumsum(flag)][ends])
+        bits = [np.packbits(flag[s:e]).tobytes() if n else b"" for s, e, n in zip(ends[:-1].tolist(), ends[1:].tolist(), hits.tolist())]
+        yield _replies(bucket, parts, keys, np.array([len(x) for x in bits], np.int64), b"".join(bits))
 
 
 def covered(starts: np.ndarray, n: int, width: int) -> list[tuple[int, int]]:
@@ -331,15 +380,17 @@ def _marked(width: int, buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = []
-            for key, text, shared, replies in zip(b.column("key").to_pylist(), b.column("text"), b.column("shared"), b.column("replies").to_pylist()):
+            for key, text, shared, *reply in zip(b.column("key").to_pylist(), *(b.column(c) for c in ("text", "shared", "buckets", "sizes", "bits"))):
                 data, places, found = _prefixes(text, shared, width)
                 flag = np.zeros(len(places), bool)
                 own = _bucket_of(found, buckets)
                 order = np.argsort(own, kind="stable")
                 cut = np.searchsorted(own[order], np.arange(buckets + 1))
-                for r in replies:
-                    at = order[cut[r["bucket"]] : cut[r["bucket"] + 1]]
-                    flag[at] = np.unpackbits(np.frombuffer(r["bits"], np.uint8), count=len(at)).astype(bool)
+                from_, sizes, bits = (np.frombuffer(r.as_buffer(), kind) for r, kind in zip(reply, ("<u4", "<u4", np.uint8)))
+                ends = np.r_[0, np.cumsum(sizes, dtype=np.int64)]
+                for k, bucket in enumerate(from_.tolist()):
+                    at = order[cut[bucket] : cut[bucket + 1]]
+                    flag[at] = np.unpackbits(bits[ends[k] : ends[k + 1]], count=len(at)).astype(bool)
                 runs = covered(places[flag], len(data), width)
                 digest, at = hashlib.sha256(), 0
                 for s, e in runs:
@@ -368,12 +419,13 @@ def remove(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", widt
     density = len(difference_cover()) / PERIOD
     buckets = max(partitions(spark), int(total * density) // BUCKET + 1)
     blocks = keyed.mapInArrow(_sampled(width, buckets), _DEAL).repartition(buckets, "bucket").sortWithinPartitions("bucket")
-    shared = keep(blocks.mapInArrow(_shared, "key long, shared binary"), "shared-blocks")
+    tell = lambda f: lambda batches: f(batches, buckets)
+    shared = keep(_gather(blocks.mapInArrow(tell(_shared), _REPLIES), buckets).select("key", F.col("vals").alias("shared")), "shared-blocks")
     release(spark)
     del blocks
     # who takes part: of equal texts the row of the smallest id, if it shares a block
     counts = rows.groupBy("key").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("copies"))
-    chosen = shared.groupBy("key").agg(F.collect_list("shared").alias("shared")).join(counts.select(F.col("key").alias("c_key"), "first_id"), F.col("key") == F.col("c_key")).select("key", "first_id", "shared")
+    chosen = shared.join(counts.select(F.col("key").alias("c_key"), "first_id"), F.col("key") == F.col("c_key")).select("key", "first_id", "shared")
     full = texts.where(long).select("doc_id", key.alias("t_key"), F.col("text").cast("binary").alias("text"))
     parts = full.join(chosen, F.col("doc_id").eqNullSafe(F.col("first_id")) & (F.col("t_key") == F.col("key"))).select("key", "text", "shared")
     if rows.groupBy("doc_id", "key").count().where("count > 1").take(1):
@@ -384,11 +436,11 @@ def remove(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", widt
     held = parts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(partitions(spark), held // BUCKET + 1)
     suffixes = parts.mapInArrow(_suffixes(width, buckets), _DEAL).repartition(buckets, "bucket").sortWithinPartitions("bucket")
-    replies = keep(suffixes.mapInArrow(_repeated, "key long, bucket int, bits binary"), "repeated")
+    replies = keep(_gather(suffixes.mapInArrow(tell(_repeated), _REPLIES), buckets), "repeated")
     del suffixes
     release(spark)
-    replies = replies.groupBy(F.col("key").alias("r_key")).agg(F.collect_list(F.struct("bucket", "bits")).alias("replies"))
-    joined = parts.join(replies, F.col("key") == F.col("r_key")).select("key", "text", "shared", "replies")
+    replies = replies.select(F.col("key").alias("r_key"), "buckets", "sizes", F.col("vals").alias("bits"))
+    joined = parts.join(replies, F.col("key") == F.col("r_key")).select("key", "text", "shared", "buckets", "sizes", "bits")
     marks = keep(joined.mapInArrow(_marked(width, buckets), "key long, n_removed long, n_spans long, kept_sha256 string"), "marks")
     verdict = counts.select("key", "copies").join(marks, "key", "left")
     out = rows.join(verdict, "key")
