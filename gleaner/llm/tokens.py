@@ -15,8 +15,8 @@ from array import array
 
 import numpy as np
 
-#: Entries in each cache; at the bound it is emptied.
-CACHE = 700_000
+#: Entries in the young half of each cache; a full one becomes the old half, from which what is met again comes back.
+CACHE = 450_000
 
 _SIMPLE = re.compile(r"[^\W\d_]+|[^\w\s]+|\n")
 _AWKWARD = re.compile(r"[\d_']|\n\n|^\n|[^\S\n]")
@@ -59,7 +59,9 @@ class Encoder:
         self.spaced = spec.get("normalizer") is None and '"ByteLevel"' in before and '"use_regex": true' in before and '"add_prefix_space": false' in before
         self.folded = '"Replace"' in json.dumps(spec.get("normalizer")) and '"Removed"' in before
         self.words: dict[str, bytes] = {}
+        self.old_words: dict[str, bytes] = {}
         self.pieces: dict[str, bytes] = {}
+        self.old_pieces: dict[str, bytes] = {}
 
     def _pack(self, ids: list[int]) -> bytes:
         return array("H" if self.kind.itemsize == 2 else "I", ids).tobytes()
@@ -71,17 +73,27 @@ class Encoder:
         found = self.pieces.get(piece)
         if found is None:
             if len(self.pieces) >= CACHE:
-                self.pieces.clear()
-            seen = piece if piece.isascii() and piece.isalpha() else piece.encode().decode("latin-1").translate(_ALPHABET)
-            found = self.pieces[piece] = self._pack([t.id for t in self.model.tokenize(seen)])
+                self.old_pieces, self.pieces = self.pieces, {}
+            found = self.old_pieces.get(piece)
+            if found is None:
+                if piece.isascii() and piece.isprintable():
+                    seen = _ALPHABET[32] + piece[1:] if piece[0] == " " else piece
+                else:
+                    seen = piece.encode().decode("latin-1").translate(_ALPHABET)
+                found = self._pack([t.id for t in self.model.tokenize(seen)])
+            self.pieces[piece] = found
         return found
 
     def _word(self, word: str) -> bytes:
         """Ids of a word: with a space before it if words carry their space, else without."""
-        if word.isascii():
-            body, last = (word, "") if word.isalpha() else (word[:-1], word[-1:])
-            if body.isalpha() and (not last or last in ".,!"):
-                found = self._piece(" " + body if self.spaced else body.lower())
+        body, last = (word, "") if word.isalpha() else (word[:-1], word[-1:])
+        if body.isalpha() and (not last or last in ".,!"):
+            if self.spaced:
+                body = " " + body
+            else:
+                body = body.lower() if body.isascii() else self.whole.normalizer.normalize_str(body)
+            if self.spaced or body.isalpha():
+                found = self._piece(body)
                 return found + self._piece(last) if last else found
         if self.folded:
             if _AWKWARD.search(word) or "\n" in word:
@@ -110,13 +122,16 @@ class Encoder:
         else:
             return np.frombuffer(self._slow(text), self.kind)
         if len(self.words) >= CACHE:
-            self.words.clear()
+            self.old_words, self.words = self.words, {}
         out = list(map(self.words.get, words))
         if None in out:
             for i, found in enumerate(out):
                 if found is None:
                     word = words[i]
-                    out[i] = self.words.get(word) or self.words.setdefault(word, self._word(word))
+                    found = self.words.get(word)
+                    if found is None:
+                        found = self.words[word] = self.old_words.get(word) or self._word(word)
+                    out[i] = found
         return np.frombuffer(head + b"".join(out), self.kind)
 
 
