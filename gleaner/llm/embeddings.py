@@ -194,3 +194,17 @@ def near(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding",
     alone = rows.where("vec is null").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     both = rows.where("vec is not null").join(named, ["label", "vec"]).select("vec_id", F.col("links").alias("n_links"), "component_id").unionByName(alone)
     return both.withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
+
+
+ORACLE = f"""
+WITH RECURSIVE e AS (
+  SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+links AS (
+  SELECT a.vec_id AS u, b.vec_id AS v FROM e a JOIN e b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+  WHERE list_cosine_similarity(a.e, b.e) >= {COSINE}),
+reach(u, v) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT r.u, l.v FROM reach r JOIN links l ON r.v = l.u),
+n AS (SELECT u, count(*) AS n FROM links GROUP BY u),
+c AS (SELECT u, min(v) AS component_id FROM reach GROUP BY u)
+SELECT vec_id, coalesce(n, 0) AS n_links, component_id, vec_id = component_id AS kept FROM embeddings JOIN c ON vec_id = c.u LEFT JOIN n ON vec_id = n.u
+"""

@@ -70,4 +70,5 @@ QUERIES = {
 
 ORACLES = {
     "op7_exact_dedup": exact.ORACLE,
+    "op10_embedding_near_dedup": embeddings.ORACLE,
 }
