@@ -4,11 +4,10 @@ from __future__ import annotations
 
 import warnings
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import Window
 
-from ..operators.frame import build, first_rows
+from ..operators.frame import build
 
 
 def _with_energy_weights(frame: DataFrame, heavy: float) -> DataFrame:
@@ -49,8 +48,6 @@ def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _quiet(t, "embedding", "vec_id", F.col("vec_id") % 50, y="label")
 
 
-__all__ = ["events", "first_rows", "lineitem", "orders", "vectors"]
-
 FE = """
 fe AS (SELECT event_id AS row_id, user_id AS config_id, event_id = min(event_id) OVER (PARTITION BY user_id) AS is_energy,
               value AS y, CASE WHEN event_id = min(event_id) OVER (PARTITION BY user_id) THEN 10.0::DOUBLE ELSE 1.0::DOUBLE END AS w,
