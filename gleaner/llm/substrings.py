@@ -10,7 +10,9 @@ fingerprints of fixed prefixes.
    fingerprints at a time, and ranked: shared between texts, or not.
 2. Suffix blocks. Only suffixes with a shared sampled block within the next PERIOD positions can be repeated. Their WIDTH-byte
    prefixes are dealt into buckets by one 64-bit fingerprint and sorted within a bucket by another, one bucket at a time;
-   a bucket holds about BUCKET entries, whatever the size of the corpus. (An equal prefix must agree in both: 64 bits and
+   a bucket holds about BUCKET entries, whatever the size of the corpus. Blocks and suffixes that a group of texts has
+   several times are settled on the map side, and one entry per group goes on, so a passage that very many texts
+   share does not fill a bucket. (An equal prefix must agree in both: 64 bits and
    the bucket; by chance two of n prefixes do so at odds of n^2 / 2^65 / buckets.)
 3. Marking. Texts get back a bit for each suffix they sent, mark what repeated suffixes cover and hash the rest.
 
@@ -159,12 +161,18 @@ def _dealt(buckets: int, bucket: np.ndarray, values: np.ndarray, keys: list[int]
         yield int(bucket[s]), every[own].tobytes(), counts.astype("<u4").tobytes(), values[s:e].tobytes()
 
 
-_DEAL = "bucket int, keys binary, counts binary, vals binary"
-_DEAL_NAMES = ["bucket", "keys", "counts", "vals"]
+#: Entries for a bucket have no part; rows with a part are replies that a group of texts gave itself, on their way.
+_DEAL = "bucket int, part int, keys binary, counts binary, vals binary"
+_DEAL_NAMES = ["bucket", "part", "keys", "counts", "vals"]
+#: The tag of such replies, where a bucket's number stands in others.
+_OWN = 0x7FFFFFFF
 
 
-def _packed(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = [pa.int32(), pa.binary(), pa.binary(), pa.binary()]
+def _packed(rows: list[tuple], own: pa.RecordBatch | None = None) -> pa.RecordBatch:
+    kinds = [pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
+    rows = [(r[0], None, *r[1:]) for r in rows]
+    if own is not None:
+        rows += [(part, part, keys, sizes, vals) for part, keys, sizes, vals in zip(*(own.column(c).to_pylist() for c in ("part", "keys", "sizes", "vals")))]
     return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], _DEAL_NAMES)
 
 
@@ -184,10 +192,16 @@ def _sampled(width: int, buckets: int):
         def deal() -> pa.RecordBatch:
             of = np.repeat(np.arange(len(keys)), [len(f) for f in found])
             every = np.concatenate(found)
+            # a block that several texts of the group have is settled here; one entry tells the other groups
+            _, first, back, times = np.unique(every, return_index=True, return_inverse=True, return_counts=True)
+            known = times[back] > 1
+            own = _replies(_OWN, buckets, np.array(keys, np.int64), np.bincount(of[known], minlength=len(keys)) * 4, (every[known] & np.uint64(_LOW)).astype("<u4").tobytes())
+            sent = np.sort(first)
+            every, of = every[sent], of[sent]
             rows = list(_dealt(buckets, ((every >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64), (every & np.uint64(_LOW)).astype("<u4"), keys, of))
             keys.clear()
             found.clear()
-            return _packed(rows)
+            return _packed(rows, own)
 
         for b in batches:
             for key, text in zip(b.column("key").to_pylist(), b.column("text")):
@@ -218,15 +232,20 @@ def _sampled(width: int, buckets: int):
     return run
 
 
-def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray, np.ndarray, list[bytes]]]:
-    """Rows sorted by bucket -> per bucket: keys, counts, and the runs of values."""
+def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray, np.ndarray, list[bytes]] | pa.RecordBatch]:
+    """Rows sorted by bucket -> per bucket: keys, counts, and the runs of values; replies pass as they are."""
     now, keys, counts, vals = None, [], [], []
 
     def out():
         return now, np.frombuffer(b"".join(keys), np.int64), np.frombuffer(b"".join(counts), "<u4"), vals
 
     for b in batches:
-        for bucket, k, c, v in zip(b.column("bucket").to_pylist(), b.column("keys").to_pylist(), b.column("counts").to_pylist(), b.column("vals").to_pylist()):
+        done = b.filter(b.column("part").is_valid())
+        if done.num_rows:
+            tags = pa.array([_OWN] * done.num_rows, pa.int32())
+            yield pa.RecordBatch.from_arrays([done.column("part"), tags, *map(done.column, ("keys", "counts", "vals"))], ["part", "bucket", "keys", "sizes", "vals"])
+        b = b.filter(b.column("part").is_null())
+        for bucket, k, c, v in zip(*(b.column(c).to_pylist() for c in ("bucket", "keys", "counts", "vals"))):
             if bucket != now:
                 if keys:
                     yield out()
@@ -240,7 +259,11 @@ def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarra
 
 def _shared(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.RecordBatch]:
     """Sort one bucket's blocks; tell each text which of its blocks another text has, too."""
-    for bucket, keys, counts, vals in _grouped(batches):
+    for group in _grouped(batches):
+        if isinstance(group, pa.RecordBatch):
+            yield group
+            continue
+        bucket, keys, counts, vals = group
         values = np.frombuffer(b"".join(vals), "<u4")
         of = np.repeat(keys, counts)
         order = np.argsort(values, kind="stable")
@@ -346,14 +369,38 @@ def _bucket_of(found: np.ndarray, buckets: int) -> np.ndarray:
 
 
 def _deal_suffixes(keys: list[int], found: list[np.ndarray], buckets: int) -> pa.RecordBatch:
-    of = np.repeat(np.arange(len(keys)), [len(f) for f in found])
+    sizes = np.array([len(f) for f in found])
+    of = np.repeat(np.arange(len(keys)), sizes)
     every = np.concatenate(found)
-    return _packed(list(_dealt(buckets, _bucket_of(every, buckets), every, keys, of)))
+    # a prefix that the group has several times is settled here; its first place tells the other groups
+    order = np.argsort(every, kind="stable")
+    new = np.r_[True, every[order[1:]] != every[order[:-1]]]
+    sent = np.zeros(len(every), bool)
+    sent[order[new]] = True
+    same = ~new
+    known = np.zeros(len(every), bool)
+    known[order[same]] = True
+    known[order[np.r_[same[1:], False]]] = True
+    # runs of places that are known, (place in its text, length, whether sent)
+    state = known.astype(np.int8) + (known & sent)
+    cuts = np.flatnonzero(np.r_[True, (state[1:] != state[:-1]) | (of[1:] != of[:-1])])
+    lengths = np.diff(np.r_[cuts, len(every)])
+    real = state[cuts] > 0
+    cuts, lengths = cuts[real], lengths[real]
+    starts = cuts - (np.cumsum(sizes) - sizes)[of[cuts]]
+    runs = np.column_stack([starts, lengths, state[cuts] > 1]).astype("<u4")
+    own = _replies(_OWN, buckets, np.array(keys, np.int64), np.bincount(of[cuts], minlength=len(keys)) * 12, runs.tobytes())
+    every, of = every[sent], of[sent]
+    return _packed(list(_dealt(buckets, _bucket_of(every, buckets), every, keys, of)), own)
 
 
 def _repeated(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.RecordBatch]:
     """Sort one bucket's suffixes; a bit for each tells whether its prefix occurs again."""
-    for bucket, keys, counts, vals in _grouped(batches):
+    for group in _grouped(batches):
+        if isinstance(group, pa.RecordBatch):
+            yield group
+            continue
+        bucket, keys, counts, vals = group
         values = np.frombuffer(b"".join(vals), "<u8")
         vals.clear()
         order = np.argsort(values)
@@ -382,15 +429,21 @@ def _marked(width: int, buckets: int):
             rows = []
             for key, text, shared, *reply in zip(b.column("key").to_pylist(), *(b.column(c) for c in ("text", "shared", "buckets", "sizes", "bits"))):
                 data, places, found = _prefixes(text, shared, width)
-                flag = np.zeros(len(places), bool)
-                own = _bucket_of(found, buckets)
-                order = np.argsort(own, kind="stable")
-                cut = np.searchsorted(own[order], np.arange(buckets + 1))
+                flag, sent = np.zeros(len(places), bool), np.ones(len(places), bool)
                 from_, sizes, bits = (np.frombuffer(r.as_buffer(), kind) for r, kind in zip(reply, ("<u4", "<u4", np.uint8)))
                 ends = np.r_[0, np.cumsum(sizes, dtype=np.int64)]
-                for k, bucket in enumerate(from_.tolist()):
-                    at = order[cut[bucket] : cut[bucket + 1]]
-                    flag[at] = np.unpackbits(bits[ends[k] : ends[k + 1]], count=len(at)).astype(bool)
+                for k in np.flatnonzero(from_ == _OWN).tolist():
+                    for start, length, was_sent in np.frombuffer(bits[ends[k] : ends[k + 1]].tobytes(), "<u4").reshape(-1, 3).tolist():
+                        flag[start : start + length] = True
+                        sent[start : start + length] = was_sent
+                dealt = np.flatnonzero(sent)
+                own = _bucket_of(found[dealt], buckets)
+                order = np.argsort(own, kind="stable")
+                cut = np.searchsorted(own[order], np.arange(buckets + 1))
+                for k in np.flatnonzero(from_ != _OWN).tolist():
+                    bucket = int(from_[k])
+                    at = dealt[order[cut[bucket] : cut[bucket + 1]]]
+                    flag[at] |= np.unpackbits(bits[ends[k] : ends[k + 1]], count=len(at)).astype(bool)
                 runs = covered(places[flag], len(data), width)
                 digest, at = hashlib.sha256(), 0
                 for s, e in runs:
@@ -442,7 +495,8 @@ def remove(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", widt
     replies = replies.select(F.col("key").alias("r_key"), "buckets", "sizes", F.col("vals").alias("bits"))
     joined = parts.join(replies, F.col("key") == F.col("r_key")).select("key", "text", "shared", "buckets", "sizes", "bits")
     marks = keep(joined.mapInArrow(_marked(width, buckets), "key long, n_removed long, n_spans long, kept_sha256 string"), "marks")
-    verdict = counts.select("key", "copies").join(marks, "key", "left")
+    # a table of its own, so that the join with the rows may split a key that many rows share
+    verdict = keep(counts.select("key", "copies").join(marks, "key", "left"), "verdicts")
     out = rows.join(verdict, "key")
     whole = (F.col("copies") > 1) & (F.col("n_bytes") >= width)
     nothing = hashlib.sha256(b"").hexdigest()
