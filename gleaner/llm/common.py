@@ -48,6 +48,26 @@ def fresh(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/gleaner-{name}-{uuid.uuid4().hex}"
 
 
+#: Words of 64 bits in a sieve at most: what is broadcast has no more rows than this.
+SIEVE = 1 << 20
+
+
+def sieve(flat: DataFrame, column: str, ids: DataFrame) -> DataFrame:
+    """The frame with a column g_hit that is true for every row whose ``column`` is among ``ids`` (one column), and for few others.
+
+    The ids set bits of a table of at most SIEVE words, which is broadcast; so rows that can't be among the ids are known
+    without a shuffle, and only the others need an exact join. With very many ids all rows may be hit, never too few.
+    """
+    (name,) = ids.columns
+    words = min(SIEVE, 1 << max(10, (ids.count()).bit_length()))
+    hashed = lambda c: F.xxhash64(F.lit(17), c.cast("string"))
+    own = ids.select(hashed(F.col(name)).alias("h")).select(F.expr(f"pmod(shiftright(h, 6), {words})").alias("g_word"), F.expr("shiftleft(1L, int(h & 63))").alias("b"))
+    table = own.groupBy("g_word").agg(F.bit_or("b").alias("g_bits"))
+    rows = flat.withColumn("g_hash", hashed(F.col(column))).withColumn("g_word", F.expr(f"pmod(shiftright(g_hash, 6), {words})"))
+    hit = F.expr("coalesce(shiftright(g_bits, int(g_hash & 63)) & 1, 0) = 1")
+    return rows.join(F.broadcast(table), "g_word", "left").select(*flat.columns, hit.alias("g_hit"))
+
+
 def keep(df: DataFrame, name: str) -> DataFrame:
     """Write the frame as Parquet in the shared folder and read it back: cuts the lineage, outlives executors."""
     spark = df.sparkSession

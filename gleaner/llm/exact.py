@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACES, keep, numbered, pick
+from .common import SPACES, keep, numbered, pick, sieve
 
 #: A digest that more than this share of the rows carries is surely found by the frequent-items pass, which tracks at
 #: most 1 / SUPPORT digests; so what is broadcast has at most that many rows, whatever the input.
@@ -55,22 +55,22 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", supp
 
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents that stay, with all their columns. A row is found again by id, digest and length."""
+    """The documents that stay, with all their columns.
+
+    Only rows whose id may belong to a copy that goes are shuffled; there a row is found again by id and digest.
+    """
     flat, at = numbered(docs)
-    text = F.coalesce(F.col(at[text_col]), F.lit(""))
-    verdict = groups(docs, id_col, text_col).where("kept").select(F.col("doc_id").alias("k_id"), F.unhex("text_sha256").alias("k_digest"))
-    same = F.col(at[id_col]).eqNullSafe(F.col("k_id")) & (digest(text) == F.col("k_digest"))
-    stays = flat.join(verdict, same, "left_semi")
-    # Rows that share id and digest can't be told apart by the join; such groups, if any, are cut to the longest here.
-    again = pick(docs, doc_id=id_col, text=text_col).select("doc_id", digest(F.col("text")).alias("digest")).groupBy("doc_id").agg(F.count(F.lit(1)).alias("times")).where("times > 1").select(F.col("doc_id").alias("a_id"))
-    again = keep(again, "repeated-ids")
-    if not again.take(1):
-        return stays.toDF(*docs.columns)
-    twice = F.col(at[id_col]).eqNullSafe(F.col("a_id"))
-    single, repeated = stays.join(again, twice, "left_anti"), stays.join(again, twice, "left_semi")
-    order = F.max_by(F.struct("*"), F.length(text))
-    cut = repeated.groupBy(F.col(at[id_col]), digest(F.col(at[text_col]))).agg(order.alias("best")).select("best.*")
-    return single.unionByName(cut).toDF(*docs.columns)
+    verdicts = keep(groups(docs, id_col, text_col).select("doc_id", "kept", F.unhex("text_sha256").alias("digest")), "verdicts")
+    sifted = sieve(flat, at[id_col], verdicts.where("not kept").select("doc_id"))
+    unsure = sifted.where("g_hit").drop("g_hit").withColumn("g_digest", digest(F.col(at[text_col])))
+    stays = verdicts.where("kept").select(F.col("doc_id").alias("g_id"), F.col("digest").alias("g_kept"))
+    own = F.col(at[id_col]).eqNullSafe(F.col("g_id")) & (F.col("g_digest") == F.col("g_kept"))
+    unsure = unsure.join(stays, own, "left_semi")
+    if verdicts.groupBy("doc_id", "digest").count().where("count > 1").take(1):
+        # rows that share id and digest can't be told apart by the join: the longest stays
+        best = F.max_by(F.struct(*flat.columns), F.length(F.coalesce(F.col(at[text_col]), F.lit(""))))
+        unsure = unsure.groupBy(at[id_col], "g_digest").agg(best.alias("best")).select("best.*")
+    return sifted.where("not g_hit").select(*flat.columns).unionByName(unsure.select(*flat.columns)).toDF(*docs.columns)
 
 
 ORACLE = r"""

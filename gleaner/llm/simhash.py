@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import keep, numbered, pick
+from .common import keep, numbered, pick, sieve
 from .components import components
 
 BITS = 2
@@ -212,15 +212,19 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     Of rows with that same id one stays. A group whose ids are all null keeps one row.
     """
     flat, at = numbered(docs)
-    found = classes(docs, id_col, text_col)
-    lead = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).select(F.col("doc_id").alias("k_id"), "n")
-    lead = keep(lead, "leaders")
-    own = F.col(at[id_col]).eqNullSafe(F.col("k_id"))
-    once = flat.join(lead.where("n = 1"), own, "left_semi")
-    if not lead.where("n > 1").take(1):
-        return once.toDF(*docs.columns)
+    found = keep(classes(docs, id_col, text_col), "near-classes")
+    leads = F.col("doc_id").eqNullSafe(F.col("component_id"))
+    often = keep(found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.bool_or(leads).alias("leads")), "near-verdicts")
+    # only rows whose id may go, or comes several times, are shuffled
+    sifted = sieve(flat, at[id_col], often.where("n > 1 or not leads").select("doc_id"))
+    sure, unsure = sifted.where("not g_hit").select(*flat.columns), sifted.where("g_hit").select(*flat.columns)
+    lead = often.where("leads").select(F.col("doc_id").alias("g_id"), F.col("n").alias("g_n"))
+    own = F.col(at[id_col]).eqNullSafe(F.col("g_id"))
+    out = sure.unionByName(unsure.join(lead.where("g_n = 1"), own, "left_semi"))
+    if not lead.where("g_n > 1").take(1):
+        return out.toDF(*docs.columns)
     text = F.coalesce(F.col(at[text_col]), F.lit(""))
     cells = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in flat.columns]
-    more = flat.join(lead.where("n > 1"), own, "left_semi").withColumn("f", F.when(F.col(at[id_col]).isNull(), fingerprint_of(F.col(at[text_col]))))
+    more = unsure.join(lead.where("g_n > 1"), own, "left_semi").withColumn("f", F.when(F.col(at[id_col]).isNull(), fingerprint_of(F.col(at[text_col]))))
     best = more.groupBy(F.col(at[id_col]), "f").agg(F.max_by(F.struct(*flat.columns), F.struct(F.length(text), F.xxhash64(*cells))).alias("best"))
-    return once.unionByName(best.select("best.*")).toDF(*docs.columns)
+    return out.unionByName(best.select("best.*")).toDF(*docs.columns)
