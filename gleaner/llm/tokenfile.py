@@ -26,6 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators.frame import cell_of
 from .common import fresh, keep, partitions, pick, release
 from .tokens import encoder
 
@@ -265,12 +266,16 @@ def read(spark: SparkSession, folder: str, files: DataFrame) -> DataFrame:
     table = spark.read.format("binaryFile").option("pathGlobFilter", "ranks.ids").load(folder).select("content").first()
     id_of = np.frombuffer(bytes(table[0]), "<u4")
     blobs = spark.read.format("binaryFile").option("pathGlobFilter", "*.tok").load(folder)
-    blobs = blobs.select(F.element_at(F.split("path", "/"), -1).alias("name"), "content").join(F.broadcast(files.select("name")), "name", "left_semi")
+    blobs = blobs.select(F.element_at(F.split("path", "/"), -1).alias("name"), "content")
     rows = blobs.mapInArrow(_read(id_of), "name string, doc_id long, start long, n_tokens long, ids_crc32 long")
-    before = Window.orderBy("first", "name").rowsBetween(Window.unboundedPreceding, -1)
-    bases = files.select("name", F.coalesce(F.sum("tokens").over(before), F.lit(0)).alias("base"))
-    # a row per BLOCK tokens: a millionth of the corpus
-    return rows.join(F.broadcast(bases), "name").select("doc_id", (F.col("base") + F.col("start")).alias("start"), "n_tokens", "ids_crc32")
+    # running sums within ranges of files, on top of the ranges before: no task sees all files
+    files = files.withColumn("cell", cell_of(files, "first"))
+    cells = files.groupBy("cell").agg(F.sum("tokens").alias("sum"))
+    cells = cells.select("cell", (F.sum("sum").over(Window.orderBy("cell")) - F.col("sum")).alias("below"))
+    before = Window.partitionBy("cell").orderBy("first", "name").rowsBetween(Window.unboundedPreceding, -1)
+    bases = files.withColumn("own", F.coalesce(F.sum("tokens").over(before), F.lit(0))).join(F.broadcast(cells), "cell")
+    # files that a lost attempt left are not in the table and drop out here
+    return rows.join(bases.select("name", (F.col("below") + F.col("own")).alias("base")), "name").select("doc_id", (F.col("base") + F.col("start")).alias("start"), "n_tokens", "ids_crc32")
 
 
 def round_trip(docs: DataFrame, tokenizer: str, end: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
