@@ -11,12 +11,16 @@ from __future__ import annotations
 import json
 import os
 import re
+import threading
+import time
 from array import array
 
 import numpy as np
 
 #: Entries in the young half of each cache; a full one becomes the old half, from which what is met again comes back.
-CACHE = 450_000
+CACHE = 350_000
+#: Seconds without work after which the caches are emptied.
+IDLE = 4.0
 
 _SIMPLE = re.compile(r"[^\W\d_]+|[^\w\s]+|\n")
 _AWKWARD = re.compile(r"[\d_']|\n\n|^\n|[^\S\n]")
@@ -58,10 +62,15 @@ class Encoder:
         # Two families can be cut into words beforehand; any other file takes the whole tokenizer for whole texts.
         self.spaced = spec.get("normalizer") is None and '"ByteLevel"' in before and '"use_regex": true' in before and '"add_prefix_space": false' in before
         self.folded = '"Replace"' in json.dumps(spec.get("normalizer")) and '"Removed"' in before
-        self.words: dict[str, bytes] = {}
-        self.old_words: dict[str, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
-        self.old_pieces: dict[str, bytes] = {}
+        self.words: dict[str, bytes]
+        self.old_words: dict[str, bytes]
+        self.pieces: dict[str, bytes]
+        self.old_pieces: dict[str, bytes]
+        self.forget()
+        self.used = time.monotonic()
+
+    def forget(self) -> None:
+        self.words, self.old_words, self.pieces, self.old_pieces = {}, {}, {}, {}
 
     def _pack(self, ids: list[int]) -> bytes:
         return array("H" if self.kind.itemsize == 2 else "I", ids).tobytes()
@@ -109,6 +118,7 @@ class Encoder:
         return b"".join(map(self._piece, parts))
 
     def ids(self, text: str | None) -> np.ndarray:
+        self.used = time.monotonic()
         if not text:
             return np.empty(0, self.kind)
         if self.spaced:
@@ -135,10 +145,19 @@ class Encoder:
         return np.frombuffer(head + b"".join(out), self.kind)
 
 
+def _watch(coder: Encoder) -> None:
+    """Workers outlive the steps that encode: give the caches' memory back when nothing has been encoded for a while."""
+    while True:
+        time.sleep(IDLE)
+        if coder.words and time.monotonic() - coder.used > IDLE:
+            coder.forget()
+
+
 def encoder(path: str) -> Encoder:
     """The worker's own encoder for a file."""
     if path not in _LOADED:
         _LOADED[path] = Encoder(path)
+        threading.Thread(target=_watch, args=(_LOADED[path],), daemon=True).start()
     return _LOADED[path]
 
 

@@ -43,7 +43,7 @@ EXPECTED = 0.05
 BAR, HELD = 0.7, (3, 1)
 
 _WORDS = re.compile(r"[^\W\d_]+")
-_CACHE = 400_000
+_CACHE = 150_000
 
 
 def tokens(text: str | None) -> list[str]:
