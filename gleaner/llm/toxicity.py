@@ -1,9 +1,11 @@
 """Toxicity by maximum-scoring segments over token log-odds, calibrated by extreme-value statistics.
 
-Tokens are runs of letters, lower-cased. A token's log-odds are those of a toxic against a clean document that holds it,
-under a hierarchical Dirichlet (here Beta) prior: a stem (a token's first four letters) is shrunk towards the classes'
-shares, a token towards its stem, so an inflection never seen scores as its stem does. As the odds are those of holding a token
-at all, it counts where a text first has it. A constant drift is taken off each token, and one linear scan (Ruzzo and Tompa) finds all maximal-scoring segments of a text. Karlin-Altschul
+Tokens are runs of letters, lower-cased. A token's log-odds are those of an occurrence in a toxic against one in a clean
+document, under a hierarchical Dirichlet (here Beta) prior: a stem (a token's first four letters) is shrunk towards the
+classes' shares of all tokens, a token towards its stem, so an inflection never seen scores as its stem does. A constant
+drift is taken off each token, and one linear scan (Ruzzo and Tompa) over all occurrences finds all maximal-scoring
+segments of a text. Occurrences of one token within one segment are not independent: n of them add sqrt(n) times its
+score to the segment's; other segments don't matter. Karlin-Altschul
 statistics under the clean documents' scores turn a segment's score S in a text of m tokens into
 ``lambda S - ln(K m)``, minus the logarithm of its expected number; the values of significant segments add up to the
 document's evidence, and a logistic curve makes it a score: that of toxicity if both classes were as frequent. The
@@ -22,6 +24,7 @@ from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -50,30 +53,49 @@ def tokens(text: str | None) -> list[str]:
     return _WORDS.findall((text or "").lower())
 
 
-def segments(scores: list[float]) -> list[float]:
-    """Scores of all maximal-scoring segments (Ruzzo and Tompa), in one pass."""
+def placed(scores: list[float]) -> list[tuple[int, int, float]]:
+    """(first place, end, score) of all maximal-scoring segments (Ruzzo and Tompa), in one pass."""
     left: list[float] = []  # running total before each candidate
     right: list[float] = []  # running total at its end
     lower: list[int] = []  # the nearest earlier candidate that starts from a lower total
+    first: list[int] = []
+    end: list[int] = []
     total = 0.0
-    for s in scores:
+    for i, s in enumerate(scores):
         if s <= 0:
             total += s
             continue
-        start, total = total, total + s
+        start, total, place = total, total + s, i
         k = len(left) - 1
         while True:
             while k >= 0 and left[k] >= start:
                 k = lower[k]
             if k < 0 or right[k] >= total:
                 break
-            start, below = left[k], lower[k]
-            del left[k:], right[k:], lower[k:]
+            start, below, place = left[k], lower[k], first[k]
+            del left[k:], right[k:], lower[k:], first[k:], end[k:]
             k = below
         left.append(start)
         right.append(total)
         lower.append(k)
-    return [b - a for a, b in zip(left, right)]
+        first.append(place)
+        end.append(i + 1)
+    return [(i, j, b - a) for i, j, a, b in zip(first, end, left, right)]
+
+
+def segments(scores: list[float]) -> list[float]:
+    """Scores of all maximal-scoring segments."""
+    return [s for _, _, s in placed(scores)]
+
+
+def damped(words: list[str], scores: list[float], i: int, j: int, score: float) -> float:
+    """A segment's score when n occurrences of a token in it add sqrt(n) times the token's score."""
+    times: dict[str, int] = {}
+    for w, s in zip(words[i:j], scores[i:j]):
+        if s > 0:
+            n = times[w] = times.get(w, 0) + 1
+            score -= s * (1 - math.sqrt(n) + math.sqrt(n - 1))
+    return score
 
 
 @dataclass
@@ -96,20 +118,14 @@ class Model:
         return found
 
     def scan(self, text: str | None) -> tuple[int, list[float], list[float]]:
-        """Number of tokens, their scores, and the scores of the maximal segments."""
+        """Number of tokens, their scores, and the damped scores of the maximal segments."""
         words = tokens(text)
         scores = list(map(self.known.get, words))
         if None in scores:
             scores = [self.weight(w) for w in words]
         if not scores or max(scores) <= 0:
             return len(words), scores, []
-        met: set[str] = set()
-        for i, s in enumerate(scores):
-            if s > 0:
-                if words[i] in met:
-                    scores[i] = -DRIFT
-                met.add(words[i])
-        return len(words), scores, segments(scores)
+        return len(words), scores, [damped(words, scores, *found) for found in placed(scores)]
 
     def evidence(self, m: int, found: list[float]) -> float:
         least = self.log_k + math.log(max(m, 1) / EXPECTED)
@@ -124,7 +140,8 @@ class Model:
 
 
 def log_odds(counts: list[tuple[str, int, int]], toxic: int, clean: int) -> tuple[dict[str, float], dict[str, float]]:
-    """(token or "^" + stem, toxic documents, clean documents) -> weights of tokens and of stems."""
+    """(token or "^" + stem, times in toxic, in clean documents), tokens of both classes -> weights of tokens and of stems."""
+    toxic, clean = max(toxic, 1), max(clean, 1)
     base = math.log(toxic / clean)
     share = toxic / (toxic + clean)
     stem_share, stems, words = {}, {}, {}
@@ -194,13 +211,26 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         toxic, clean = (sum(size.get((h, y), 0) for h in (0, 1)) for y in (1, 0))
         return Model(constant=1.0 if toxic and not clean else 0.0)
 
-    @F.pandas_udf("array<string>")
-    def names(column: pd.Series) -> pd.Series:
-        return column.map(lambda t: [*(w := set(tokens(t))), *{"^" + x[:STEM] for x in w}])
-
-    counted = texts.select("y", "half", F.explode(names("text")).alias("name")).groupBy("name")
-    counted = counted.agg(*[F.sum(F.when((F.col("half") == h) & (F.col("y") == y), 1).otherwise(0)).alias(f"n{h}{y}") for h in (0, 1) for y in (1, 0)])
-    counts = [tuple(r) for r in counted.where(f"n01 + n11 >= {LEAST} or n00 + n10 >= {LEAST}").collect()]
+    def named(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            out = []
+            for y, half, text in zip(b["y"], b["half"], b["text"]):
+                words = Counter(tokens(text))
+                stems: Counter[str] = Counter()
+                for w, n in words.items():
+                    stems["^" + w[:STEM]] += n
+                # the bare "^" has the number of tokens
+                out += [(y, half, name, n) for name, n in (*words.items(), *stems.items(), ("^", words.total()))]
+            yield pd.DataFrame(out, columns=["y", "half", "name", "n"])
+
+    cells = [(h, y) for h in (0, 1) for y in (1, 0)]
+    own = lambda h, y, n: F.sum(F.when((F.col("half") == h) & (F.col("y") == y), n).otherwise(0))
+    counted = texts.select("y", "half", "text").mapInPandas(named, "y int, half int, name string, n long").groupBy("name")
+    counted = counted.agg(*[own(h, y, F.col("n")).alias(f"n{h}{y}") for h, y in cells], *[own(h, y, 1).alias(f"d{h}{y}") for h, y in cells])
+    often = counted.where(f"name = '^' or d01 + d11 >= {LEAST} or d00 + d10 >= {LEAST}")
+    counts = [tuple(r) for r in often.select("name", *[f"n{h}{y}" for h, y in cells]).collect()]
+    size = dict(zip(cells, next(c[1:] for c in counts if c[0] == "^")))
+    counts = [c for c in counts if c[0] != "^"]
     # the curve is fitted on scores of documents that the log-odds behind them have not seen
     folds = [Model(*log_odds([(n, *(c[2:] if h else c[:2])) for n, *c in counts], size[h, 1], size[h, 0])) for h in (0, 1)]
     model = Model(*log_odds([(n, c[0] + c[2], c[1] + c[3]) for n, *c in counts], size[0, 1] + size[1, 1], size[0, 0] + size[1, 0]))

@@ -78,6 +78,28 @@ def test_segments():
     assert len(toxicity.segments([5.0, -9.0] * 50_000)) == 50_000
 
 
+def test_all_passages_count():
+    words = [a + b for a in "bcdf" for b in "aeu"]
+    model = toxicity.Model(dict.fromkeys(words, 2.0), {}, 1.0, -3.0, (-3.0, 2.0))
+    gap, bar = ["so"] * 60, lambda m: -3.0 + np.log(m / toxicity.EXPECTED)
+    found = lambda t: [s for s in model.scan(" ".join(t))[2] if s > bar(len(t))]
+    assert np.allclose(found(words + gap + words), [12 * 1.5] * 2)
+    # words met alone before, each too weak by itself, don't hide the passage
+    alone = [x for w in words for x in (w, *gap)]
+    assert found(alone) == [] and np.allclose(found(alone + words), [12 * 1.5])
+    assert model.score(" ".join(alone + words)) > 0.7 > model.score(" ".join(alone))
+    once, often = (sum(model.scan(" ".join(["ba"] * n))[2]) for n in (1, 60))
+    assert np.isclose(often, once * np.sqrt(60))
+
+
+def test_odds_are_those_of_occurrences(spark):
+    line = "all the same words are in both kinds of text here"
+    rows = [(i, " ".join([line, *["vex"] * (8 if i % 2 else 1)])) for i in range(80)]
+    table = spark.createDataFrame([(i, i % 2) for i in range(80)], "doc_id long, toxic int")
+    model = toxicity.fit(docs(spark, rows), table)
+    assert model.words["vex"] > 1 and model.words.get("same", 0.0) == 0.0
+
+
 def corpus(n=400, seed=0):
     rng = np.random.default_rng(seed)
     words = ["".join(rng.choice(list("aeiourstlnd"), int(rng.integers(2, 7)))) for _ in range(300)]
