@@ -36,7 +36,7 @@ def op5_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return substrings.remove(_table(spark, sf_dir, "documents"))
+    return substrings.summary(substrings.deduplicated(_table(spark, sf_dir, "documents")))
 
 
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -14,7 +14,8 @@ fingerprints of fixed prefixes.
    several times are settled on the map side, and one entry per group goes on, so a passage that very many texts
    share does not fill a bucket. (An equal prefix must agree in both: 64 bits and
    the bucket; by chance two of n prefixes do so at odds of n^2 / 2^65 / buckets.)
-3. Marking. Texts get back a bit for each suffix they sent, mark what repeated suffixes cover and hash the rest.
+3. Marking. Texts get back a bit for each suffix they sent and mark what repeated suffixes cover: the spans. Rows whose
+   text has any are cut; the others keep their text without a shuffle.
 
 Equal texts are found first by a hash: one of them takes part, all of WIDTH bytes or more lose everything.
 
@@ -25,7 +26,6 @@ Equal texts are found first by a hash: one of them takes part, all of WIDTH byte
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import keep, partitions, pick, release
+from .common import keep, partitions, pick, release, sieve
 
 WIDTH = 400
 #: A perfect difference set: every remainder modulo 273 is a difference of two of these 17. Found from the powers of a
@@ -445,27 +445,49 @@ def _marked(width: int, buckets: int):
                     at = dealt[order[cut[bucket] : cut[bucket + 1]]]
                     flag[at] |= np.unpackbits(bits[ends[k] : ends[k + 1]], count=len(at)).astype(bool)
                 runs = covered(places[flag], len(data), width)
-                digest, at = hashlib.sha256(), 0
-                for s, e in runs:
-                    digest.update(data[at:s])
-                    at = e
-                digest.update(data[at:])
-                rows.append((key, sum(e - s for s, e in runs), len(runs), digest.hexdigest()))
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string()]
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], ["key", "n_removed", "n_spans", "kept_sha256"])
+                rows.append((key, [{"start": s, "end": e} for s, e in runs]))
+            kinds = [pa.int64(), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], ["key", "spans"])
 
     return run
 
 
+_SPANS = "array<struct<start: bigint, end: bigint>>"
+
+
+def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc_id, n_bytes, spans, text) -> the same with what the spans leave of the text."""
+    for b in batches:
+        kept = []
+        for text, spans in zip(b.column("text").to_pylist(), b.column("spans").to_pylist()):
+            cuts = [0, *(x for span in spans for x in (span["start"], span["end"])), len(text)]
+            kept.append(b"".join(text[i:j] for i, j in zip(cuts[::2], cuts[1::2])))
+        yield pa.RecordBatch.from_arrays([*map(b.column, ("doc_id", "n_bytes", "spans")), pa.array(kept, pa.binary())], ["doc_id", "n_bytes", "spans", "kept"])
+
+
 def remove(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH) -> DataFrame:
     """One row per input row: doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
+    return summary(deduplicated(docs, id_col, text_col, width))
+
+
+def summary(found: DataFrame) -> DataFrame:
+    """What ``deduplicated`` returns, in numbers: doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
+    return found.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH) -> DataFrame:
+    """One row per input row: doc_id, n_bytes, spans, kept.
+
+    ``spans`` are the ascending removed ranges (start, end) of bytes, ``kept`` is the rest: bytes, as a span may cut a character.
+    """
     if width < PERIOD + 16:
         raise ValueError(f"width must be at least {PERIOD + 16}")
     spark = docs.sparkSession
-    # texts are known by a 64-bit hash; sizes, digests and copies of all rows come first
+    # texts are known by a 64-bit hash; sizes and copies of all rows come first
     texts = pick(docs, doc_id=id_col, text=text_col).withColumn("text", F.coalesce("text", F.lit("")))
     key = F.xxhash64(F.lit(7), "text")
-    rows = keep(texts.select("doc_id", key.alias("key"), F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("sha")), "texts")
+    rows = keep(texts.select("doc_id", key.alias("key"), F.octet_length("text").cast("long").alias("n_bytes")), "texts")
     total = rows.agg(F.sum("n_bytes")).first()[0] or 0
     long = F.octet_length("text") >= width
     keyed = texts.where(long).select(key.alias("key"), F.col("text").cast("binary").alias("text"))
@@ -494,16 +516,16 @@ def remove(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", widt
     release(spark)
     replies = replies.select(F.col("key").alias("r_key"), "buckets", "sizes", F.col("vals").alias("bits"))
     joined = parts.join(replies, F.col("key") == F.col("r_key")).select("key", "text", "shared", "buckets", "sizes", "bits")
-    marks = keep(joined.mapInArrow(_marked(width, buckets), "key long, n_removed long, n_spans long, kept_sha256 string"), "marks")
+    marks = keep(joined.mapInArrow(_marked(width, buckets), f"key long, spans {_SPANS}").where("size(spans) > 0"), "marks")
     # a table of its own, so that the join with the rows may split a key that many rows share
-    verdict = keep(counts.select("key", "copies").join(marks, "key", "left"), "verdicts")
-    out = rows.join(verdict, "key")
+    verdict = keep(counts.select("key", "copies").join(marks, "key", "left").where("copies > 1 or spans is not null"), "verdicts")
+    every = texts.select("doc_id", key.alias("key"), F.octet_length("text").cast("long").alias("n_bytes"), F.col("text").cast("binary").alias("text"))
+    sifted = sieve(every, "key", verdict.select("key"))
+    none = F.array().cast(_SPANS)
+    hit = sifted.where("g_hit").join(verdict, "key", "left")
     whole = (F.col("copies") > 1) & (F.col("n_bytes") >= width)
-    nothing = hashlib.sha256(b"").hexdigest()
-    return out.select(
-        "doc_id",
-        "n_bytes",
-        F.when(whole, F.col("n_bytes")).otherwise(F.coalesce("n_removed", F.lit(0))).alias("n_removed"),
-        F.when(whole, F.lit(1)).otherwise(F.coalesce("n_spans", F.lit(0))).cast("long").alias("n_spans"),
-        F.when(whole, F.lit(nothing)).otherwise(F.coalesce("kept_sha256", "sha")).alias("kept_sha256"),
-    )
+    all_of_it = F.array(F.struct(F.lit(0).cast("long").alias("start"), F.col("n_bytes").alias("end")))
+    hit = hit.select("doc_id", "n_bytes", F.when(whole, all_of_it).otherwise(F.coalesce("spans", none)).alias("spans"), "text")
+    kind = hit.schema["doc_id"].dataType.simpleString()
+    hit = hit.mapInArrow(_cut, f"doc_id {kind}, n_bytes long, spans {_SPANS}, kept binary")
+    return sifted.where("not g_hit").select("doc_id", "n_bytes", none.alias("spans"), F.col("text").alias("kept")).unionByName(hit)

@@ -49,6 +49,23 @@ def test_removal(spark, monkeypatch, width):
     assert sorted((tuple(r) for r in got), key=repr) == plain_removal(rows, width)
 
 
+def test_removed_spans_and_kept_text(spark):
+    rng = np.random.default_rng(1)
+    text = lambda n: "".join(rng.choice(list("abcdé \n"), n))
+    x = text(900)
+    rows = [(0, x), (1, "q" + x[:500] + "zz" + x[450:] + "é"), (2, "own " + text(600)), (3, None), (4, "b" * 400), (5, "b" * 400), (None, "short"), (7, "short")]
+    got = substrings.deduplicated(docs(spark, rows).repartition(2)).collect()
+    source = {i: (t or "").encode() for i, t in rows}
+    assert sorted(map(str, source)) == sorted(str(r["doc_id"]) for r in got)
+    for r in got:
+        data, ends = source[r["doc_id"]], [0, *(x for s in r["spans"] for x in s), r["n_bytes"]]
+        assert ends == sorted(ends) and r["n_bytes"] == len(data)
+        assert bytes(r["kept"]) == b"".join(data[i:j] for i, j in zip(ends[::2], ends[1::2]))
+    digests = sorted(((r["doc_id"], len(r["spans"]), hashlib.sha256(r["kept"]).hexdigest()) for r in got), key=repr)
+    assert digests == [(i, n, sha) for i, _, _, n, sha in plain_removal(rows, 400)]
+    assert {r["doc_id"]: bytes(r["kept"]) for r in got}[1] == "qzzé".encode()
+
+
 def test_removal_of_nothing(spark):
     assert substrings.remove(docs(spark, [])).count() == 0
     got = substrings.remove(docs(spark, [(1, "short"), (2, "short")])).collect()
