@@ -195,36 +195,48 @@ def near(prints: DataFrame) -> DataFrame:
     return components(edges).withColumnRenamed("node", "p")
 
 
+def _classified(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """One row per input row: doc_id, p, component_id, and the component's lead as (id is null, id, -length, p)."""
+    rows = pick(docs, doc_id=id_col, text=text_col)
+    rows = rows.select("doc_id", fingerprint_of(F.col("text")).alias("p"), F.length(F.coalesce("text", F.lit(""))).alias("n"))
+    rows = keep(rows, "fingerprints")
+    first = F.struct(F.isnull("doc_id").alias("none"), "doc_id", (-F.col("n")).alias("size"), "p")
+    own = rows.groupBy("p").agg(F.min(first).alias("first"))
+    linked = near(own.select("p"))
+    of = keep(own.join(linked, "p", "left").select("p", "first", F.coalesce("component", "p").alias("component")), "classes")
+    named = of.groupBy("component").agg(F.min("first").alias("lead"))
+    named = of.join(named, "component").select("p", "lead")
+    return rows.join(named, "p").select("doc_id", "p", F.col("lead.doc_id").alias("component_id"), "lead")
+
+
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: doc_id, fingerprint (16 hex digits), component_id."""
-    rows = keep(pick(docs, doc_id=id_col, text=text_col).select("doc_id", fingerprint_of(F.col("text")).alias("p")), "fingerprints")
-    own = rows.groupBy("p").agg(F.min("doc_id").alias("least"))
-    linked = near(own.select("p"))
-    of = keep(own.join(linked, "p", "left").select("p", "least", F.coalesce("component", "p").alias("component")), "classes")
-    named = of.groupBy("component").agg(F.min("least").alias("component_id"))
-    named = of.join(named, "component").select("p", "component_id")
-    return rows.join(named, "p").select("doc_id", F.lower(F.lpad(F.hex("p"), 16, "0")).alias("fingerprint"), "component_id")
+    found = _classified(docs, id_col, text_col)
+    return found.select("doc_id", F.lower(F.lpad(F.hex("p"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One document of each group stays, the one with the smallest id, with all its columns.
 
-    Of rows with that same id one stays. A group whose ids are all null keeps one row.
+    Of a group's rows with that same id the longest stays. A group whose ids are all null keeps one row. Rows of one id
+    may belong to several groups: a row is known by its id and fingerprint.
     """
     flat, at = numbered(docs)
-    found = keep(classes(docs, id_col, text_col), "near-classes")
-    leads = F.col("doc_id").eqNullSafe(F.col("component_id"))
-    often = keep(found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.bool_or(leads).alias("leads")), "near-verdicts")
-    # only rows whose id may go, or comes several times, are shuffled
+    leads = F.col("doc_id").eqNullSafe(F.col("lead.doc_id")) & (F.col("p") == F.col("lead.p"))
+    found = _classified(docs, id_col, text_col).select("doc_id", "p", leads.alias("leads"))
+    often = keep(found.groupBy("doc_id", "p").agg(F.count(F.lit(1)).alias("n"), F.bool_or("leads").alias("leads")), "near-verdicts")
+    # only rows whose id may go, or comes several times under one fingerprint, are shuffled
     sifted = sieve(flat, at[id_col], often.where("n > 1 or not leads").select("doc_id"))
     sure, unsure = sifted.where("not g_hit").select(*flat.columns), sifted.where("g_hit").select(*flat.columns)
-    lead = often.where("leads").select(F.col("doc_id").alias("g_id"), F.col("n").alias("g_n"))
-    own = F.col(at[id_col]).eqNullSafe(F.col("g_id"))
-    out = sure.unionByName(unsure.join(lead.where("g_n = 1"), own, "left_semi"))
+    lead = often.where("leads").select(F.col("doc_id").alias("g_id"), F.col("p").alias("g_lead"), F.col("n").alias("g_n"))
+    own = F.col(at[id_col]).eqNullSafe(F.col("g_id")) & (F.col("g_p") == F.col("g_lead"))
+    # written, as both joins read the fingerprints
+    unsure = keep(unsure.withColumn("g_p", fingerprint_of(F.col(at[text_col]))), "near-unsure")
+    out = sure.unionByName(unsure.join(lead.where("g_n = 1"), own, "left_semi").select(*flat.columns))
     if not lead.where("g_n > 1").take(1):
         return out.toDF(*docs.columns)
     text = F.coalesce(F.col(at[text_col]), F.lit(""))
     cells = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in flat.columns]
-    more = unsure.join(lead.where("g_n > 1"), own, "left_semi").withColumn("f", F.when(F.col(at[id_col]).isNull(), fingerprint_of(F.col(at[text_col]))))
-    best = more.groupBy(F.col(at[id_col]), "f").agg(F.max_by(F.struct(*flat.columns), F.struct(F.length(text), F.xxhash64(*cells))).alias("best"))
+    more = unsure.join(lead.where("g_n > 1"), own, "left_semi")
+    best = more.groupBy(F.col(at[id_col]), "g_p").agg(F.max_by(F.struct(*flat.columns), F.struct(F.length(text), F.xxhash64(*cells))).alias("best"))
     return out.unionByName(best.select("best.*")).toDF(*docs.columns)

@@ -171,3 +171,13 @@ def test_exact_sql(spark, sf):
     want = sorted(map(tuple, con.sql(f"select doc_id, keep_id, group_size, kept, text_sha256 from ({exact.ORACLE})").fetchall()))
     got = exact.groups(spark.read.parquet(f"{sf}/documents.parquet")).collect()
     assert sorted((r["doc_id"], r["keep_id"], r["group_size"], r["kept"], r["text_sha256"]) for r in got) == want
+
+
+def test_near_copies_of_repeated_and_null_ids(spark):
+    a, b, c, d, e = (" ".join(f"{w}{i}" for i in range(60)) for w in ("ab", "cd", "ef", "gh", "ij"))
+    # upper case leaves the fingerprint as it is; white space changes the length only
+    rows = [(1, a), (1, b + " " * 9), (2, a.upper()), (0, b.upper()), (3, c), (3, d + "  "), (None, c.upper()), (None, e), (None, e.upper()), (4, "x"), (None, None), (None, "")]
+    table = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = simhash.drop_near_copies(table).collect()
+    found = sorted(((r["doc_id"], (r["text"] or "").strip().lower()) for r in got), key=repr)
+    assert found == sorted([(1, a), (0, b), (3, c), (3, d), (None, e), (4, "x"), (None, "")], key=repr)
