@@ -12,6 +12,7 @@ sqrt(2 CAPACITY) different lengths: under 1.2 million entries for 4096, whatever
 * A null or empty text is a document of the end token alone. Repeated rows are packed as often as they occur.
 * Only documents longer than the capacity are cut; all their pieces but the last have the full length.
 * Pieces of equal length are ranked by bucket, then id, piece and checksum; rows equal in all these are interchangeable.
+  A length has a bucket for every SLICE of its pieces, so one that holds most of all pieces is ranked by many tasks.
 * An empty table gives an empty result; null ids are allowed; other columns are ignored.
 """
 
@@ -26,10 +27,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import keep, partitions, pick
+from .common import keep, pick
 from .tokens import encoder
 
 CAPACITY, END = 4096, 1
+#: Pieces of a length that are ranked together.
+SLICE = 50_000
 
 
 def best_fit(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, int, int, int, int, int]]:
@@ -121,12 +124,13 @@ def pack(docs: DataFrame, tokenizer: str, end: int = END, capacity: int = CAPACI
     rows = pick(docs, doc_id=id_col, text=text_col)
     kind = rows.schema["doc_id"].dataType.simpleString()
     rows = rows.mapInArrow(_cut(tokenizer, end, capacity), f"doc_id {kind}, piece int, start long, length long, ids_crc32 long")
-    buckets = partitions(docs.sparkSession)
-    rows = keep(rows.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(buckets)).cast("int")), "pieces")
-    cells = rows.groupBy("length", "bucket").agg(F.count(F.lit(1)).alias("n"))
-    # at most CAPACITY rows reach the driver
-    counts = {r["length"]: r["n"] for r in cells.groupBy("length").agg(F.sum("n").alias("n")).collect()}
+    rows = keep(rows.withColumn("h", F.xxhash64("doc_id", "piece", "ids_crc32")), "pieces")
+    # at most CAPACITY rows reach the driver, and are broadcast
+    counts = {r["length"]: r["n"] for r in rows.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
     plan = np.array(sorted(best_fit(counts, capacity)), np.int64).reshape(-1, 6)
+    slices = docs.sparkSession.createDataFrame([(k, n // SLICE + 1) for k, n in counts.items()], "length long, slices long")
+    rows = rows.join(F.broadcast(slices), "length").withColumn("bucket", F.expr("pmod(h, slices)"))
+    cells = rows.groupBy("length", "bucket").agg(F.count(F.lit(1)).alias("n"))
     before = Window.partitionBy("length").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     cells = cells.select("length", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
     within = Window.partitionBy("length", "bucket").orderBy("doc_id", "piece", "ids_crc32")

@@ -6,7 +6,7 @@ separator at once and takes differences of the places found. Documents that run
 prefix scan over one row per block: the place of the last separator in any earlier block of the stream.
 
 * A null or empty text counts 0 tokens: its separator alone is in the stream. Repeated rows are separate documents.
-* Ids behind a stream's last separator are one more document; an empty file set gives an empty result.
+* Ids behind a stream's last separator are one more document; an empty table is an empty folder and gives an empty result.
 * Other columns are ignored. Null ids are carried along.
 """
 
@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import fresh, keep, pick, release
-from .tokenfile import as_uri, save
+from .tokenfile import as_uri, make_folder, save
 from .tokens import encoder
 
 #: Ids in a block.
@@ -63,6 +63,7 @@ def _flat(folder: str, path: str, separator: int, block: int):
 def write_flat(docs: DataFrame, tokenizer: str, separator: int, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK) -> tuple[str, DataFrame]:
     """Write a corpus as a flat file set, each task its own stream; the folder, and (stream, seq, doc_id) for reference."""
     folder = as_uri(fresh(docs.sparkSession, "flat-tokens"))
+    make_folder(folder)  # an empty corpus writes no file
     rows = pick(docs, doc_id=id_col, text=text_col)
     kind = rows.schema["doc_id"].dataType.simpleString()
     order = keep(rows.mapInArrow(_flat(folder, tokenizer, separator, block), f"stream long, seq long, doc_id {kind}"), "flat-order")

@@ -84,6 +84,13 @@ def read_block(blob: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray]:
     return [None if z else i for i, z in zip(ids.tolist(), null.tolist())], counts, ranks
 
 
+def make_folder(uri: str) -> None:
+    from pyarrow import fs
+
+    system, path = fs.FileSystem.from_uri(uri)
+    system.create_dir(path, recursive=True)
+
+
 def save(uri: str, data: bytes) -> None:
     """Write a file at once; a task that runs again writes the same bytes and replaces it."""
     import uuid
@@ -155,13 +162,29 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_pydict({"low": low, "high": high}, pa.schema([("low", pa.int64()), ("high", pa.int64())]))
 
 
+#: Runs that the driver may look at itself; more are compared within ranges of ids.
+LOOK = 1 << 16
+
+
 def in_order(rows: DataFrame) -> bool:
-    """Whether each task reads a few ascending runs of ids and no two runs overlap; RUNS rows a task reach the driver."""
-    found = [tuple(r) for r in rows.select("doc_id").mapInArrow(_runs, "low long, high long").collect()]
-    if any(r[0] is None for r in found):
+    """Whether each task reads a few ascending runs of ids and no two runs overlap."""
+    runs = rows.select("doc_id").mapInArrow(_runs, "low long, high long")
+    if runs.rdd.getNumPartitions() * RUNS <= LOOK:
+        found = [tuple(r) for r in runs.collect()]
+        if any(r[0] is None for r in found):
+            return False
+        found.sort()
+        return all(a[1] <= b[0] for a, b in zip(found, found[1:]))
+    runs = keep(runs, "runs")
+    if runs.where("low is null").take(1):
+        return False
+    runs = runs.withColumn("cell", cell_of(runs, "low"))
+    before = F.lag("high").over(Window.partitionBy("cell").orderBy("low", "high"))
+    if runs.select("low", before.alias("before")).where("before > low").take(1):
         return False
-    found.sort()
-    return all(a[1] <= b[0] for a, b in zip(found, found[1:]))
+    # one row a cell: a range of ids, of which there are a bounded number
+    cells = runs.groupBy("cell").agg(F.min("low").alias("low"), F.max("high").alias("high"))
+    return not cells.select("low", F.max("high").over(Window.orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)).alias("before")).where("before > low").take(1)
 
 
 def _written(folder: str, kind: str, rank_of: np.ndarray, block: int):

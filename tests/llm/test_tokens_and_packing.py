@@ -81,6 +81,10 @@ def test_separator_scan(spark, block):
         by[r["stream"]] = r["start"] + r["n_tokens"] + 1
 
 
+def test_separator_scan_of_nothing(spark):
+    assert separators.count_tokens(docs(spark, []), BYTES, 50256).collect() == []
+
+
 def test_separator_scan_of_foreign_files(spark, tmp_path):
     np.array([5, 9, 9, 5], "<u2").tofile(tmp_path / "00000000-00000000.bin")
     np.array([5, 5, 5], "<u2").tofile(tmp_path / "00000000-00000001.bin")
@@ -131,12 +135,22 @@ def check_packing(rows, got, capacity=4096):
     assert len(by) == plain_best_fit([w[3] for w in want], capacity)
 
 
-def test_packing(spark):
+@pytest.mark.parametrize("size", [3, 50_000])
+def test_packing(spark, monkeypatch, size):
+    monkeypatch.setattr(packing, "SLICE", size)
     rows = some()
     check_packing([r[:2] for r in rows], packing.pack(docs(spark, rows).repartition(3), WORDS).collect())
     assert packing.pack(docs(spark, []), WORDS).count() == 0
 
 
+def test_order_of_runs(spark, monkeypatch):
+    up, down = spark.range(0, 1000, 1, 7).toDF("doc_id"), spark.range(1000, 0, -1, 7).toDF("doc_id")
+    for look in (1 << 16, 0):  # by the driver, and within ranges of ids
+        monkeypatch.setattr(tokenfile, "LOOK", look)
+        assert tokenfile.in_order(up) and not tokenfile.in_order(down) and tokenfile.in_order(up.where("doc_id < 0"))
+        assert not tokenfile.in_order(up.unionByName(up))
+
+
 def test_quotas():
     q = mixing.quotas({"a": 100, "b": 100, "c": 1000, "d": 5}, {"a": 1, "b": 2, "c": 3, "d": 1}, 1205)
     assert q["d"] == 15 and abs(sum(q.values()) - 1205) < 1e-9 and q["b"] == 300 and abs(q["c"] - 3 * q["a"]) < 1e-9
