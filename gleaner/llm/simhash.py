@@ -4,11 +4,14 @@ Fingerprints: ASCII letters are lower-cased, words are runs of anything but ASCI
 joined by single spaces (repeats included; with fewer words the whole sequence). A fingerprint bit is 1 if it is set in
 over half of the shingles' XXH64 (seed 42). Fingerprints that differ in at most two bits are linked.
 
-Search: copies of a fingerprint become one class first. Two fingerprints within two bits agree on at least two of four
-16-bit blocks, so every pair meets in one of six tables keyed by two blocks. Within a key's group the fingerprints are
-sorted by Gray rank; runs of them form nodes that hold the bits all their members share (mask and pattern), upper nodes
-hold the bits that their children share. A query adds up the differing bits on its way down, and a whole group is
-pruned as soon as the sum passes two. A group never emits its pairs: only a spanning forest of its links leaves.
+Search: copies of a fingerprint become one class first. Of three blocks of a fingerprint (21, 21 and 22 bits) two that differ
+in at most two bits agree on one, so every pair meets in one of three tables, each dealt over the partitions by one
+block. A partition's share of a table, all keys together, is one index: its fingerprints, turned so that the block comes
+first, are sorted by Gray rank; runs of them form nodes that hold the bits all their members share (mask and pattern),
+upper nodes hold the bits that their children share. A query adds up the differing bits on its way down, and a whole
+group is pruned as soon as the sum passes two. A partition never emits its pairs: only a spanning forest of its links
+leaves. A block that more than HOT fingerprints have is dealt again by three parts of the other bits, one of which every
+pair within it shares.
 
 * Null and empty texts, and texts of white space only, have fingerprint zero, which links like any other.
 * Repeated rows and ties share a class; null ids are allowed: the component's id is its smallest non-null id.
@@ -29,8 +32,11 @@ from .components import components
 
 BITS = 2
 SHINGLE = 3
-#: Entries of a node of the index, groups up to which pairs are compared directly, and (query, node) pairs at a time.
-FANOUT, SMALL, FRONTIER = 8, 24, 1 << 20
+#: Entries of a node of the index, and (query, node) pairs at a time.
+FANOUT, FRONTIER = 8, 1 << 20
+#: Bits of the blocks that key the three tables, and of the parts by which a block is dealt again that many fingerprints share.
+BLOCKS, PARTS = (21, 21, 22), (14, 14)
+HOT = 100_000
 
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
@@ -145,54 +151,61 @@ def forest(n: int, pieces: Iterator[tuple[np.ndarray, np.ndarray]]) -> np.ndarra
 
 
 def links(prints: np.ndarray, bits: int = BITS) -> tuple[np.ndarray, np.ndarray]:
-    """A spanning forest of the links among one group's distinct fingerprints."""
-    if len(prints) <= SMALL:
-        i, j = np.triu_indices(len(prints), 1)
-        ok = np.bitwise_count(prints[i] ^ prints[j]) <= bits
-        order, pieces = prints, iter([(i[ok], j[ok])])
-    else:
-        index = GrayIndex(prints)
-        order, pieces = index.prints, index.pairs(bits)
-    root = forest(len(order), pieces)
-    far = root != np.arange(len(order))
-    return order[far], order[root[far]]
+    """A spanning forest of the links among distinct fingerprints, found by their index."""
+    index = GrayIndex(prints)
+    root = forest(len(prints), index.pairs(bits))
+    far = np.flatnonzero(root != np.arange(len(prints)))
+    return index.prints[far], index.prints[root[far]]
+
+
+def turned(p: np.ndarray, by: int) -> np.ndarray:
+    """Words with their bits moved up cyclically."""
+    return p if by % 64 == 0 else (p << np.uint64(by % 64)) | (p >> np.uint64(64 - by % 64))
 
 
 def _search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Rows sorted by (t, k): each key's fingerprints, which may run over several batches."""
-    key, held = None, []
+    """Rows sorted by t: a partition's share of each table, which may run over several batches, is one index."""
+    table, held = None, []
 
-    def close() -> pd.DataFrame:
-        u, v = links(np.unique(np.concatenate(held)).view(np.uint64))
-        return pd.DataFrame({"u": u.view(np.int64), "v": v.view(np.int64)})
+    def close() -> Iterator[pd.DataFrame]:
+        up = sum(BLOCKS[:table])
+        own = np.unique(np.concatenate(held))
+        if len(own) > 1:
+            u, v = links(turned(own.view(np.uint64), up))
+            yield pd.DataFrame({"u": turned(u, 64 - up).view(np.int64), "v": turned(v, 64 - up).view(np.int64)})
 
     for b in batches:
-        t, k, p = b["t"].to_numpy(), b["k"].to_numpy(), b["p"].to_numpy()
-        cuts = np.flatnonzero((t[1:] != t[:-1]) | (k[1:] != k[:-1])) + 1
-        starts, ends = np.r_[0, cuts], np.r_[cuts, len(p)]
-        us, vs = [], []
-        for s, e in zip(starts.tolist(), ends.tolist()):
-            if (t[s], k[s]) != key:
-                if sum(map(len, held)) > 1:
-                    out = close()
-                    us.append(out["u"].to_numpy())
-                    vs.append(out["v"].to_numpy())
-                key, held = (t[s], k[s]), []
+        t, p = b["t"].to_numpy(), b["p"].to_numpy()
+        cuts = np.r_[0, np.flatnonzero(t[1:] != t[:-1]) + 1, len(t)]
+        for s, e in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+            if s == e:
+                continue
+            if t[s] != table:
+                if held:
+                    yield from close()
+                table, held = int(t[s]), []
             held.append(p[s:e])
-        if us:
-            yield pd.DataFrame({"u": np.concatenate(us), "v": np.concatenate(vs)})
-    if sum(map(len, held)) > 1:
-        yield close()
+    if held:
+        yield from close()
 
 
 def near(prints: DataFrame) -> DataFrame:
     """Distinct fingerprints (column p) -> (p, component): the smallest linked fingerprint, for linked ones only."""
-    block = [F.shiftrightunsigned("p", 16 * i).bitwiseAND(0xFFFF) for i in range(4)]
-    keys = [F.struct(F.lit(n).alias("t"), F.shiftleft(block[i], 16).bitwiseOR(block[j]).alias("k")) for n, (i, j) in enumerate((i, j) for i in range(4) for j in range(i + 1, 4))]
-    dealt = prints.select("p", F.explode(F.array(*keys)).alias("x")).select("x.t", "x.k", "p")
-    met = dealt.repartition("t", "k").sortWithinPartitions("t", "k")
-    edges = met.mapInPandas(_search, "u long, v long")
-    return components(edges).withColumnRenamed("node", "p")
+    turn = lambda by: F.shiftleft("p", by).bitwiseOR(F.shiftrightunsigned("p", 64 - by)) if by else F.col("p")
+    tables = [F.struct(F.lit(t).alias("t"), turn(sum(BLOCKS[:t])).alias("q"), F.lit(64 - n).alias("rest")) for t, n in enumerate(BLOCKS)]
+    dealt = prints.select("p", F.explode(F.array(*tables)).alias("x")).select("x.*", "p").withColumn("k", F.expr("shiftrightunsigned(q, rest)"))
+    hot = keep(dealt.groupBy("t", "k").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > HOT), "hot-blocks").select("t", "k")
+    one = F.array(F.struct(F.lit(-1).alias("part"), F.lit(0).cast("long").alias("more")))
+    if hot.take(1):
+        # one of three parts of the other bits is the same in any two that are to meet; at most all rows / HOT keys are hot
+        low, mid = (F.lit((1 << n) - 1) for n in PARTS)
+        parts = [F.col("q").bitwiseAND(low), F.shiftrightunsigned("q", PARTS[0]).bitwiseAND(mid), F.expr(f"shiftrightunsigned(shiftleft(q, 64 - rest), 64 - rest + {sum(PARTS)})")]
+        again = F.array(*[F.struct(F.lit(i).alias("part"), v.alias("more")) for i, v in enumerate(parts)])
+        dealt = dealt.join(hot.withColumn("hot", F.lit(True)), ["t", "k"], "left").withColumn("x", F.explode(F.when(F.col("hot"), again).otherwise(one)))
+    else:
+        dealt = dealt.withColumn("x", F.explode(one))
+    met = dealt.select("t", "k", "x.part", "x.more", "p").repartition("t", "k", "part", "more").select("t", "p").sortWithinPartitions("t")
+    return components(met.mapInPandas(_search, "u long, v long")).withColumnRenamed("node", "p")
 
 
 def _classified(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:

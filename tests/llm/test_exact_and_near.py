@@ -3,6 +3,7 @@ import hashlib
 import re
 
 import numpy as np
+import pandas as pd
 import pytest
 import xxhash
 
@@ -82,6 +83,35 @@ def test_gray_index_finds_every_pair():
         assert found == {(int(i), int(j)) for i, j in zip(*np.nonzero(d <= bits)) if i < j}
 
 
+@pytest.mark.parametrize("hot", [1, 100_000])
+def test_every_close_pair_meets(spark, monkeypatch, hot):
+    monkeypatch.setattr(simhash, "HOT", hot)
+    rng = np.random.default_rng(2)
+    at = lambda n: np.uint64(1) << rng.integers(0, 64, n).astype(np.uint64)
+    seeds = rng.integers(0, 1 << 64, 300, np.uint64)
+    block = (seeds[:100] & np.uint64((1 << 43) - 1)) | np.uint64(5 << 43)  # many of one block
+    prints = np.unique(np.concatenate([seeds, seeds ^ at(300) ^ at(300), block, block ^ at(100) ^ at(100), seeds ^ at(300) ^ at(300) ^ at(300)]))
+    close = np.bitwise_count(prints[:, None] ^ prints) <= 2
+    comp = prints.view(np.int64).copy()
+    while (new := np.where(close, comp, np.iinfo(np.int64).max).min(axis=1)).tolist() != comp.tolist():
+        comp = new
+    got = {r["p"]: r["component"] for r in simhash.near(spark.createDataFrame([(p,) for p in prints.view(np.int64).tolist()], "p long")).collect()}
+    linked = close.sum(axis=1) > 1
+    assert got == dict(zip(prints.view(np.int64)[linked].tolist(), comp[linked].tolist()))
+
+
+def test_a_partition_is_one_index(spark, monkeypatch):
+    """Every table's share goes through the tree, whatever its size."""
+    made = []
+    real = simhash.GrayIndex
+    monkeypatch.setattr(simhash, "GrayIndex", lambda prints: made.append(len(prints)) or real(prints))
+    prints = np.random.default_rng(3).integers(0, 1 << 63, 400)
+    prints[1] = prints[0] ^ 3
+    batch = lambda t, p: pd.DataFrame({"t": t, "p": p})
+    out = pd.concat(simhash._search(iter([batch(0, prints[:100]), batch(0, prints[100:]), batch(2, prints[:2])])))
+    assert made == [400, 2] and sorted(map(sorted, out[["u", "v"]].values.tolist())) == [sorted(prints[:2].tolist())] * 2
+
+
 def test_simhash_classes(spark, monkeypatch):
     rng = np.random.default_rng(0)
     words = [f"w{i}" for i in range(500)]
@@ -93,7 +123,7 @@ def test_simhash_classes(spark, monkeypatch):
             near = list(base)
             near[int(rng.integers(0, 400))] = "new"
             rows.append((len(rows) + 1, " ".join(near)))
-    rows += [(1000, None), (999, ""), (None, "one"), (998, "one"), (998, "one")]
+    rows += [(1001, "very long text " * 400_000), (1000, None), (999, ""), (None, "one"), (998, "one"), (998, "one")]
     got = simhash.classes(docs(spark, rows)).toPandas()
     prints = np.array([plain_print(t) for _, t in rows], np.uint64)
     near = np.bitwise_count(prints[:, None] ^ prints) <= 2
