@@ -3,14 +3,16 @@
 Documents are summed up by the set of sources that they belong to. Source words flow from patterns to the quotas of
 their members; a pattern's words may be taken up to MOST times, each further time at a higher cost, so the flow repeats as little
 as it can. A pattern that the flow uses f times over gives every document floor(f) times, and the rest by seeded choice:
-documents in the order of a seeded hash as long as they fit, then small ones from further on in that order.
+documents in the order of a seeded hash as long as they fit, then small ones from further on in that order, until what is
+missing is under CLOSE of a pattern's words or no document fits.
 
 * A null source is a source of its own, last in order; a document without any source (an empty array) is never taken.
 * A null or empty text has size 0 and is taken 0 words. Repeated rows are decided alike; they are told apart by nothing.
 * Quotas: weights 1, 2, 3, repeating, by code-point order share the words of all documents; a quota stops at MOST times its
   source's words and the excess is shared anew by weight. Sources without words get 0. An empty table gives an empty result.
 
-The driver sees one row for each pattern, never a document; the patterns of single-membership data are its sources.
+The driver sees one row for each pattern, never a document; the patterns of single-membership data are its sources. The
+flow takes time about in proportion to the memberships of all patterns; tables of patterns are broadcast up to SMALL rows.
 """
 
 from __future__ import annotations
@@ -26,8 +28,11 @@ from .common import WORD, keep, numbered, pick
 MOST, SEED = 3, 29
 #: Bits of the seeded order looked at in each of the passes that find where a pattern's choice ends.
 STEP, ORDER = 10, 60
-#: Passes that fill what is left of a pattern's words, each with documents of at most half of it.
-ROUNDS = 5
+#: Passes that fill what is left of a pattern's words, each with documents of at most half of it; and the share of the
+#: words that may be left.
+ROUNDS, CLOSE = 16, 0.0005
+#: Rows of a table of patterns that is broadcast.
+SMALL = 100_000
 
 
 def quotas(sizes: dict[str, int], weights: dict[str, float], total: float, most: float = MOST) -> dict[str, float]:
@@ -49,65 +54,81 @@ def quotas(sizes: dict[str, int], weights: dict[str, float], total: float, most:
 
 
 class Flow:
-    """Min-cost flow by successive shortest augmenting paths (costs are small integers)."""
+    """Maximum flow by blocking flows in layered networks (Dinic); room may be added between runs."""
 
     def __init__(self, nodes: int):
         self.out: list[list[int]] = [[] for _ in range(nodes)]
         self.to: list[int] = []
         self.room: list[int] = []
-        self.cost: list[int] = []
 
-    def arc(self, a: int, b: int, room: int, cost: int) -> int:
-        for x, y, r, c in ((a, b, room, cost), (b, a, 0, -cost)):
+    def arc(self, a: int, b: int, room: int) -> int:
+        for x, y, r in ((a, b, room), (b, a, 0)):
             self.out[x].append(len(self.to))
             self.to.append(y)
             self.room.append(r)
-            self.cost.append(c)
         return len(self.to) - 2
 
-    def run(self, source: int, sink: int) -> int:
-        sent = 0
-        while True:
-            far: list[float] = [float("inf")] * len(self.out)
-            via, queued = [-1] * len(self.out), [False] * len(self.out)
-            far[source], queue = 0, deque([source])
-            while queue:
-                a = queue.popleft()
-                queued[a] = False
-                for e in self.out[a]:
-                    b = self.to[e]
-                    if self.room[e] > 0 and far[a] + self.cost[e] < far[b]:
-                        far[b], via[b] = far[a] + self.cost[e], e
-                        if not queued[b]:
-                            queued[b] = True
-                            queue.append(b)
-            if far[sink] == float("inf"):
-                return sent
-            path, at = [], sink
-            while at != source:
-                path.append(via[at])
-                at = self.to[via[at] ^ 1]
-            room = min(self.room[e] for e in path)
-            for e in path:
-                self.room[e] -= room
-                self.room[e ^ 1] += room
-            sent += room
+    def _layers(self, source: int, sink: int) -> list[int]:
+        layer = [-1] * len(self.out)
+        layer[source], queue = 0, deque([source])
+        while queue:
+            a = queue.popleft()
+            for e in self.out[a]:
+                if self.room[e] > 0 and layer[self.to[e]] < 0:
+                    layer[self.to[e]] = layer[a] + 1
+                    queue.append(self.to[e])
+        return layer
+
+    def run(self, source: int, sink: int) -> None:
+        while (layer := self._layers(source, sink))[sink] >= 0:
+            at = [0] * len(self.out)  # the next arc of each node to try
+            path: list[int] = []
+            a = source
+            while True:
+                if a == sink:
+                    room = min(self.room[e] for e in path)
+                    for e in path:
+                        self.room[e] -= room
+                        self.room[e ^ 1] += room
+                    # back to the tail of the first arc that is full
+                    k = next(i for i, e in enumerate(path) if not self.room[e])
+                    a = self.to[path[k] ^ 1]
+                    del path[k:]
+                elif at[a] < len(self.out[a]):
+                    e = self.out[a][at[a]]
+                    if self.room[e] > 0 and layer[self.to[e]] == layer[a] + 1:
+                        path.append(e)
+                        a = self.to[e]
+                    else:
+                        at[a] += 1
+                elif path:
+                    a = self.to[path.pop() ^ 1]
+                    at[a] += 1
+                else:
+                    break
 
 
 def route(patterns: dict[tuple[str, ...], int], quota: dict[str, float], most: int = MOST) -> dict[tuple[str, ...], int]:
-    """Words to take of each pattern: as much of the quotas as can be met, with as little repetition as that allows."""
+    """Words to take of each pattern: as much of the quotas as can be met, with as little repetition as that allows.
+
+    Costs stand on the arcs that leave the source only: a pattern's words cost k when taken for the k-th further time. A
+    cheapest augmenting path starts with the cheapest arc that leads anywhere and never gives such an arc back, so the
+    least cost is found by a maximum flow with the arcs of cost 0, then with those of cost 1 added, and so on.
+    """
     names, sources = sorted(patterns), sorted(quota)
     place = {s: 2 + len(names) + i for i, s in enumerate(sources)}
     flow = Flow(2 + len(names) + len(sources))
-    arcs = {}
+    first = [flow.arc(0, 2 + i, 0) for i in range(len(names))]
     for i, p in enumerate(names):
-        arcs[p] = [flow.arc(0, 2 + i, patterns[p], k) for k in range(most)]
         for s in p:
-            flow.arc(2 + i, place[s], most * patterns[p], 0)
+            flow.arc(2 + i, place[s], most * patterns[p])
     for s in sources:
-        flow.arc(place[s], 1, round(quota[s]), 0)
-    flow.run(0, 1)
-    return {p: sum(patterns[p] - flow.room[e] for e in arcs[p]) for p in names}
+        flow.arc(place[s], 1, round(quota[s]))
+    for _ in range(most):
+        for p, e in zip(names, first):
+            flow.room[e] += patterns[p]
+        flow.run(0, 1)
+    return {p: flow.room[e ^ 1] for p, e in zip(names, first)}
 
 
 def words(text: Column) -> Column:
@@ -126,7 +147,12 @@ def place_of(doc_id: Column, seed: int) -> Column:
     return F.shiftrightunsigned(F.xxhash64(F.lit(seed), doc_id.cast("string")), 64 - ORDER)
 
 
-def _ends(rows: DataFrame, rest: DataFrame) -> DataFrame:
+def _small(table: DataFrame, rows: int) -> DataFrame:
+    """The table, to be broadcast if it has few rows."""
+    return F.broadcast(table) if rows <= SMALL else table
+
+
+def _ends(rows: DataFrame, rest: DataFrame, patterns: int) -> DataFrame:
     """For each pattern the last place up to which all documents fit into the wanted words: (pattern, last, gap).
 
     Sums over the upper bits of the place first, then over the next bits within the one cell where the wanted words
@@ -135,8 +161,8 @@ def _ends(rows: DataFrame, rest: DataFrame) -> DataFrame:
     """
     ends = rest.withColumn("cell", F.lit(0).cast("long"))
     for shift in range(ORDER - STEP, -1, -STEP):
-        # one row a pattern is broadcast
-        here = rows.join(F.broadcast(ends.select("pattern", "wanted", "cell")), "pattern").where(F.shiftright("place", shift + STEP) == F.col("cell"))
+        # one row a pattern
+        here = rows.join(_small(ends.select("pattern", "wanted", "cell"), patterns), "pattern").where(F.shiftright("place", shift + STEP) == F.col("cell"))
         sums = here.groupBy("pattern", "wanted", F.shiftright("place", shift).alias("part")).agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("n"))
         before = Window.partitionBy("pattern").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
         sums = sums.withColumn("before", F.coalesce(F.sum("size").over(before), F.lit(0))).where("before <= wanted and before + size > wanted")
@@ -161,28 +187,41 @@ def plan(rows: DataFrame, most: int = MOST) -> tuple[DataFrame, dict[str, float]
     whole = [(list(p), flow[p] // n, flow[p] % n) for p, n in patterns.items() if n]
     kind = T.ArrayType(T.StringType())
     wanted = T.StructType([T.StructField("pattern", kind), T.StructField("wanted", T.LongType())])
-    # runs of the order whose documents are taken once more: (after, upto, largest size) by pattern
-    runs: dict[tuple[str, ...], list[tuple[int, int, int]]] = {tuple(p): [] for p, _, _ in whole}
+    # runs of the order whose documents are taken once more: (after, upto, more than, at most) by pattern
+    runs: dict[tuple[str, ...], list[tuple[int, int, int, int]]] = {tuple(p): [] for p, _, _ in whole}
     rows = rows.where("size > 0")
-    left = [(list(p), r, -1, r) for p, _, r in whole if r]
+    left = [(list(p), r, -1, 0, r) for p, _, r in whole if r]
     for _ in range(ROUNDS):
         if not left:
             break
-        bound = spark.createDataFrame(left, T.StructType([T.StructField("pattern", kind), *[T.StructField(c, T.LongType()) for c in ("wanted", "after", "most")]]))
-        fit = rows.join(F.broadcast(bound.drop("wanted")), "pattern").where("place > after and size <= most").select("pattern", "size", "place")
-        ends = {tuple(r["pattern"]): r for r in _ends(fit, bound.select("pattern", "wanted")).collect()}
-        for p, _, after, most_ in left:
-            runs[tuple(p)].append((after, ends[tuple(p)]["last"] if tuple(p) in ends else (1 << ORDER) - 1, most_))
-        # what is still wanted is less than one document: the next round takes small ones from further on
-        left = [(p, r["gap"], r["last"], r["gap"] // 2) for p, *_ in left if (r := ends.get(tuple(p))) and r["gap"] > 1]
-    schema = T.StructType([T.StructField("pattern", kind), T.StructField("copies", T.LongType()), T.StructField("runs", T.ArrayType(T.StructType([T.StructField(c, T.LongType()) for c in ("after", "upto", "most")])))])
+        bound = spark.createDataFrame(left, T.StructType([T.StructField("pattern", kind), *[T.StructField(c, T.LongType()) for c in ("wanted", "after", "least", "most")]]))
+        fit = rows.join(_small(bound.drop("wanted"), len(left)), "pattern").where("place > after and size > least and size <= most").select("pattern", "size", "place")
+        ends = {tuple(r["pattern"]): r for r in _ends(fit, bound.select("pattern", "wanted"), len(left)).collect()}
+        # where all of them fit, their sum
+        fitted = {tuple(r["pattern"]): r["size"] for r in fit.groupBy("pattern").agg(F.sum("size").alias("size")).collect()} if len(ends) < len(left) else {}
+        rest = []
+        for p, want, after, least, most_ in left:
+            if end := ends.get(tuple(p)):
+                runs[tuple(p)].append((after, end["last"], least, most_))
+                # what is missing is less than one document: the next round takes small ones from further on
+                gap, after = end["gap"], end["last"]
+                upto = gap // 2 if gap // 2 > least else gap
+            else:
+                # from here on only larger ones are left in the order
+                runs[tuple(p)].append((after, (1 << ORDER) - 1, least, most_))
+                gap, least = want - fitted.get(tuple(p), 0), most_
+                upto = gap
+            if gap > CLOSE * flow[tuple(p)] and upto > least:
+                rest.append((p, gap, after, least, upto))
+        left = rest
+    schema = T.StructType([T.StructField("pattern", kind), T.StructField("copies", T.LongType()), T.StructField("runs", T.ArrayType(T.StructType([T.StructField(c, T.LongType()) for c in ("after", "upto", "least", "most")])))])
     return spark.createDataFrame([(p, q, runs[tuple(p)]) for p, q, _ in whole], schema), quota, sizes
 
 
 def _copies(prefix: str = "") -> Column:
     """How often a document of a planned pattern is taken; needs its size and place beside the plan."""
     size, place = F.col(prefix + "size"), F.col(prefix + "place")
-    once_more = F.exists(prefix + "runs", lambda r: (place > r["after"]) & (place <= r["upto"]) & (size <= r["most"]))
+    once_more = F.exists(prefix + "runs", lambda r: (place > r["after"]) & (place <= r["upto"]) & (size > r["least"]) & (size <= r["most"]))
     return F.when(size > 0, F.col(prefix + "copies") + once_more.cast("long")).otherwise(F.lit(0))
 
 
@@ -196,10 +235,11 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     """One row per input row: doc_id, size, sources (labels), copies, source_size and target (of the first source)."""
     rows = keep(_rows(docs, id_col, text_col, source_col, seed), "sized")
     chosen, quota, sizes = plan(rows)
+    patterns = chosen.count()
     spark = docs.sparkSession
-    # one row a source: as many rows as the driver has held already
+    # one row a source, and one a pattern: the driver has held them already
     of = spark.createDataFrame([(s, sizes[s], quota[s]) for s in sorted(sizes)], "label string, source_size long, target double")
-    out = rows.join(F.broadcast(chosen), "pattern", "left").join(F.broadcast(of), F.get("pattern", F.lit(0)) == F.col("label"), "left")
+    out = rows.join(_small(chosen, patterns), "pattern", "left").join(_small(of, len(sizes)), F.get("pattern", F.lit(0)) == F.col("label"), "left")
     return out.select("doc_id", "size", F.col("pattern").alias("sources"), F.coalesce(_copies(), F.lit(0)).alias("copies"), F.coalesce("source_size", F.lit(0)).alias("source_size"), F.coalesce("target", F.lit(0.0)).alias("target"))
 
 
@@ -210,6 +250,6 @@ def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
     many = isinstance(docs.schema[source_col].dataType, T.ArrayType)
     flat, at = numbered(docs)
     marked = flat.withColumns({"m_pattern": labels_of(F.col(at[source_col]), many), "m_place": place_of(F.col(at[id_col]), seed), "m_size": words(F.col(at[text_col]))})
-    marked = marked.join(F.broadcast(chosen.toDF(*[f"m_{c}" for c in chosen.columns])), "m_pattern")
+    marked = marked.join(_small(chosen.toDF(*[f"m_{c}" for c in chosen.columns]), chosen.count()), "m_pattern")
     times = F.array_repeat(F.lit(0), _copies("m_").cast("int"))
     return marked.withColumn("m_copy", F.explode(times)).select(*flat.columns).toDF(*docs.columns)

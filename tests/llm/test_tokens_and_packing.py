@@ -1,3 +1,4 @@
+import itertools
 import zlib
 
 import numpy as np
@@ -166,6 +167,53 @@ def test_flow_repeats_as_little_as_it_can():
     assert mixing.route({("a",): 10}, {"a": 50.0}) == {("a",): 30}
 
 
+def plain_route(patterns, quota, most=3):
+    """By trying everything: the most words that can be placed, then the least cost. Words of patterns within a set of
+    sources can't pass what the set takes; that is also enough."""
+    names, best = list(patterns), None
+    sets = [set(c) for k in range(1, len(quota) + 1) for c in itertools.combinations(quota, k)]
+    for f in itertools.product(*[range(most * patterns[p] + 1) for p in names]):
+        if all(sum(n for p, n in zip(names, f) if set(p) <= a) <= sum(quota[s] for s in a) for a in sets):
+            cost = sum(k * min(patterns[p], max(0, n - k * patterns[p])) for p, n in zip(names, f) for k in range(most))
+            best = max(best or (-1, 0), (sum(f), -cost))
+    return best
+
+
+def test_flow_equals_exhaustive_search():
+    rng = np.random.default_rng(4)
+    every = [("a",), ("b",), ("c",), ("a", "b"), ("b", "c"), ("a", "b", "c")]
+    for _ in range(120):
+        own = [every[i] for i in rng.choice(6, int(rng.integers(1, 5)), replace=False)]
+        patterns = {p: int(rng.integers(1, 4)) for p in own}
+        quota = {s: int(rng.integers(0, 9)) for s in "abc"}
+        got = mixing.route(patterns, quota)
+        sets = [set(c) for k in (1, 2, 3) for c in itertools.combinations("abc", k)]
+        assert all(sum(n for p, n in got.items() if set(p) <= a) <= sum(quota[s] for s in a) for a in sets)
+        cost = sum(k * min(patterns[p], max(0, n - k * patterns[p])) for p, n in got.items() for k in range(3))
+        assert (sum(got.values()), -cost) == plain_route(patterns, quota)
+
+
+def test_flow_of_many_sources():
+    n = 20_000
+    patterns = {(f"s{i:05d}",): 10 + i % 7 for i in range(n)} | {(f"s{i:05d}", f"s{i + 1:05d}"): 5 for i in range(n - 1)}
+    got = mixing.route(patterns, {f"s{i:05d}": 12.0 for i in range(n)})
+    assert sum(got.values()) == 12 * n and all(v <= 3 * patterns[p] for p, v in got.items())
+
+
+def test_mix_comes_near_every_target(spark):
+    """Sizes of all orders, one text of very many words, a source of a third of all rows, tables of patterns not broadcast."""
+    rng = np.random.default_rng(9)
+    rows = [(i, "w " * int(rng.integers(1, 60) if i % 10 else rng.integers(200, 1500)), f"s{min(i % 9, 6)}") for i in range(1500)] + [(5000, "word " * 40_000, "long"), (5001, None, None)]
+    for small in (100_000, 0):
+        with pytest.MonkeyPatch.context() as m:
+            m.setattr(mixing, "SMALL", small)
+            got = mixing.mix(docs(spark, rows)).toPandas()
+        assert len(got) == len(rows) and got["copies"].between(0, 3).all()
+        for name, part in got.groupby(got["sources"].map(tuple)):
+            if name != ("0long",):  # one text only: all of it or nothing
+                assert abs((part["size"] * part["copies"]).sum() - part["target"].iloc[0]) <= max(3, 0.001 * part["target"].iloc[0]), name
+
+
 def test_mix(spark):
     rows = [(i, "w " * (i % 17 + 1), None if i % 5 == 0 else f"s{i % 3 if i % 2 else 0}") for i in range(900)] + [(2000, None, "s1"), (2001, "", "empty"), (7, "w " * 8, "s1")]
     a = mixing.mix(docs(spark, rows)).toPandas()
