@@ -2,14 +2,16 @@
 
 Every line is good or bad. A line's features describe the line itself, the lines before and after it and how it fits into
 the document: shares of character classes, word shape and repetition, differences to its neighbours. Weights tie
-features to a line's label and neighbouring labels to each other. Labels exist for documents only, so in training all
-lines of a document carry its label. A document's quality is the mean of its lines' forward-backward marginals, weighted
+features to a line's label and neighbouring labels to each other. Labels exist for documents only: a first model
+takes each line by itself under its document's label; lines that it finds on the other side change theirs, the surest
+first and up to half of the document's bytes, and the chain is trained on what results. So good lines in bad documents, and the
+places where good and bad meet, are what the chain learns its transitions from. A document's quality is the mean of its lines' forward-backward marginals, weighted
 by length, put through a logistic curve fitted on documents that the chain was not trained on; the curve's
 score is that of a good document if both classes were as frequent.
 
-Training reads at most SAMPLE labelled documents of each class, chosen by a seeded hash of the id, and of each at most
-LINES lines spread evenly over the whole document (a bound on training memory only); everything else covers all rows, all lines
-and whole texts.
+Training reads at most SAMPLE labelled documents of each class, chosen by a seeded hash of the id, with all their lines, in
+runs of RUN neighbouring ones; everything else covers all rows, all lines and whole texts. A text longer than CHUNK is
+taken piece by piece, with what earlier pieces had in memory, to the same result.
 
 * A null or empty text is one empty line. A text without line breaks is one line; lines longer than SPAN bytes
   count as several of at most SPAN bytes, so that a long text without breaks still has neighbours.
@@ -20,7 +22,7 @@ and whole texts.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -31,11 +33,13 @@ from pyspark.sql import functions as F
 from .common import keep, pick, remainder
 from .toxicity import logistic
 
-SAMPLE, LINES, SEED = 1500, 60, 13
+SAMPLE, RUN, SEED = 1500, 64, 13
 BAR, HELD = 0.7, (4, 2)
 #: Bytes of the longest line, bytes of text whose features are computed at once.
 SPAN, CHUNK = 1000, 4 << 20
-STEPS, RATE, RIDGE = 250, 0.08, 1e-3
+STEPS, RATE, RIDGE = (200, 220), 0.08, 1e-3
+#: Lines whose features are joined with their neighbours' at once.
+ROWS = 1 << 15
 
 #: Classes of bytes: lower, upper, digit, space, end of sentence, other ASCII punctuation, parts of other letters.
 _CLASS = np.full(256, 5, np.uint8)
@@ -60,14 +64,51 @@ def lines_of(data: np.ndarray) -> np.ndarray:
     return starts
 
 
+class Met:
+    """Words and lines that earlier pieces of a text had, as sorted arrays."""
+
+    def __init__(self):
+        self.words = np.empty(0, np.uint64)
+        self.lines = np.empty(0, np.uint64)
+
+    @staticmethod
+    def _among(values: np.ndarray, known: np.ndarray) -> np.ndarray:
+        at = np.searchsorted(known, values)
+        return (at < len(known)) & (known[np.minimum(at, max(len(known) - 1, 0))] == values) if len(known) else np.zeros(len(values), bool)
+
+    def had(self, words: np.ndarray, lines: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which were there before; from now on all of them were."""
+        found = self._among(words, self.words), self._among(lines, self.lines)
+        self.words, self.lines = np.union1d(self.words, words), np.union1d(self.lines, lines)
+        return found
+
+
 def line_features(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(features, line lengths, lines of each text) of several texts, without neighbours."""
+    if len(texts) == 1 and len(texts[0]) > CHUNK:
+        return _by_pieces(texts[0])
     data = np.frombuffer(b"".join(texts), np.uint8)
     sizes = np.array([len(t) for t in texts], np.int64)
     base = np.r_[0, np.cumsum(sizes)[:-1]]
     starts = [lines_of(data[b : b + n]) + b for b, n in zip(base.tolist(), sizes.tolist())]
     many = np.array([len(s) for s in starts])
-    starts, doc = np.concatenate(starts), np.repeat(np.arange(len(texts)), many)
+    own, n = _features(data, np.concatenate(starts), np.repeat(np.arange(len(texts)), many))
+    return own, n, many
+
+
+def _by_pieces(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    data = np.frombuffer(text, np.uint8)
+    starts = lines_of(data)
+    cuts = np.unique(np.searchsorted(starts, np.arange(0, len(data), CHUNK), side="left"))
+    ends, met, parts = [*cuts[1:].tolist(), len(starts)], Met(), []
+    for i, j in zip(cuts.tolist(), ends):
+        if i < j:
+            low, high = int(starts[i]), int(starts[j]) if j < len(starts) else len(data)
+            parts.append(_features(data[low:high], starts[i:j] - low, np.zeros(j - i, np.int64), met))
+    return np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]), np.array([len(starts)])
+
+
+def _features(data: np.ndarray, starts: np.ndarray, doc: np.ndarray, met: Met | None = None) -> tuple[np.ndarray, np.ndarray]:
     ends = np.r_[starts[1:], len(data)]
     n = (ends - starts).astype(np.float64)
     line_of = np.repeat(np.arange(len(starts)), ends - starts)
@@ -111,22 +152,26 @@ def line_features(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarra
     order = np.lexsort((total, n, doc))
     copy = np.zeros(len(starts))
     copy[order[1:]] = (total[order[1:]] == total[order[:-1]]) & (n[order[1:]] == n[order[:-1]]) & (doc[order[1:]] == doc[order[:-1]]) & (n[order[1:]] > 1)
+    if met is not None:
+        line = total.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) ^ n.astype(np.uint64)
+        old_words, old_lines = met.had(words, line)
+        seen[old_words] = 1
+        copy[old_lines & (n > 1)] = 1
     own = np.column_stack([shares, np.log1p(n) / 5, np.log1p(count) / 4, np.minimum(long_word, 30) / 10, np.minimum(spread, 30) / 10, mean(same), mean(seen), mean(odd), mean(lone), copy, count == 0, (n > 0) & (n < 20)])
-    return own, n, many
+    return own, n
 
 
-def with_neighbours(own: np.ndarray, many: np.ndarray) -> np.ndarray:
+def with_neighbours(own: np.ndarray, many: np.ndarray, lines: slice = slice(None)) -> np.ndarray:
     """Add each line's neighbours' features and how far it is from their mean; at a border the line stands for them."""
     ends = np.cumsum(many)
-    place = np.arange(len(own))
-    before, after = place - 1, place + 1
-    firsts, lasts = ends - many, ends - 1
-    before[firsts], after[lasts] = firsts, lasts
-    mean = (own[before] + own[after]) / 2
-    edge = np.zeros((len(own), 3))
-    edge[firsts, 0] = edge[lasts, 1] = 1
-    edge[:, 2] = np.repeat(many == 1, many)
-    return np.concatenate([own, mean, np.abs(own - mean), edge, np.ones((len(own), 1))], axis=1)
+    place = np.arange(len(own))[lines]
+    firsts, lasts = np.zeros(len(own), bool), np.zeros(len(own), bool)
+    firsts[ends - many] = lasts[ends - 1] = True
+    first, last = firsts[lines], lasts[lines]
+    self = own[lines]
+    mean = (own[np.where(first, place, place - 1)] + own[np.where(last, place, place + 1)]) / 2
+    edge = np.column_stack([first, last, first & last]).astype(float)
+    return np.concatenate([self, mean, np.abs(self - mean), edge, np.ones((len(place), 1))], axis=1)
 
 
 @dataclass
@@ -154,7 +199,8 @@ class Chain:
                 size += len(texts[to])
                 to += 1
             own, n, many = line_features(texts[at:to])
-            good = self.marginals(self.emissions(with_neighbours(own, many)), many)
+            emission = [self.emissions(with_neighbours(own, many, slice(k, k + ROWS))) for k in range(0, len(own), ROWS)]
+            good = self.marginals(np.concatenate(emission), many)
             out[at:to] = weighted(good, n, many)
             at = to
         return out
@@ -213,26 +259,77 @@ def forward_backward(emission: np.ndarray, many: np.ndarray, steps: np.ndarray)
     return good, log_z, np.exp(pair).sum(axis=0)
 
 
-def train(features: np.ndarray, many: np.ndarray, labels: np.ndarray) -> Chain:
-    """Maximum likelihood by Adam with a ridge; every text weighs its class's share evenly."""
+def _scaled(features: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     centre, scale = features.mean(axis=0), features.std(axis=0)
     centre[-1], scale[scale < 1e-6] = 0.0, 1.0
+    return centre, scale
+
+
+def _descend(gradient: Callable[[np.ndarray], np.ndarray], x: np.ndarray, steps: int) -> np.ndarray:
+    """Adam."""
+    m1, m2 = np.zeros(len(x)), np.zeros(len(x))
+    for t in range(1, steps + 1):
+        g = gradient(x)
+        m1, m2 = 0.9 * m1 + 0.1 * g, 0.99 * m2 + 0.01 * g * g
+        x = x - RATE * (m1 / (1 - 0.9**t)) / (np.sqrt(m2 / (1 - 0.99**t)) + 1e-8)
+    return x
+
+
+def alone(features: np.ndarray, y: np.ndarray) -> Chain:
+    """A chain without transitions: each line by itself, both classes of the same weight."""
+    centre, scale = _scaled(features)
+    z = (features - centre) / scale
+    weight = np.where(y == 1, 0.5 / max(y.mean(), 1e-9), 0.5 / max(1 - y.mean(), 1e-9)) / len(y)
+    w = _descend(lambda w: z.T @ (weight * (1 / (1 + np.exp(-np.clip(z @ w, -30, 30))) - y)) + RIDGE * w, np.zeros(z.shape[1]), STEPS[0])
+    return Chain(centre, scale, w, np.zeros((2, 2)))
+
+
+def train(features: np.ndarray, many: np.ndarray, y: np.ndarray) -> Chain:
+    """Maximum likelihood of line labels y with a ridge."""
+    centre, scale = _scaled(features)
     z = (features - centre) / scale
-    y = np.repeat(labels, many).astype(float)
-    w, steps = np.zeros(z.shape[1]), np.zeros((2, 2))
     inner = np.ones(len(z), bool)
     inner[np.cumsum(many) - many] = False
     j = np.flatnonzero(inner)
     told = np.zeros((2, 2))
     np.add.at(told, (y[j - 1].astype(int), y[j].astype(int)), 1)
-    m1, m2 = np.zeros(len(w) + 4), np.zeros(len(w) + 4)
-    for t in range(1, STEPS + 1):
-        good, _, pairs = forward_backward(z @ w, many, steps)
-        g = np.r_[z.T @ (good - y) / len(z) + RIDGE * w, ((pairs - told) / max(len(j), 1)).ravel() + RIDGE * steps.ravel()]
-        m1, m2 = 0.9 * m1 + 0.1 * g, 0.99 * m2 + 0.01 * g * g
-        move = RATE * (m1 / (1 - 0.9**t)) / (np.sqrt(m2 / (1 - 0.99**t)) + 1e-8)
-        w, steps = w - move[:-4], steps - move[-4:].reshape(2, 2)
-    return Chain(centre, scale, w, steps)
+
+    def gradient(x: np.ndarray) -> np.ndarray:
+        good, _, pairs = forward_backward(z @ x[:-4], many, x[-4:].reshape(2, 2))
+        return np.r_[z.T @ (good - y) / len(z), ((pairs - told) / max(len(j), 1)).ravel()] + RIDGE * x
+
+    x = _descend(gradient, np.zeros(z.shape[1] + 4), STEPS[1])
+    return Chain(centre, scale, x[:-4], x[-4:].reshape(2, 2))
+
+
+def runs_of(many: np.ndarray, run: int | None = None) -> np.ndarray:
+    """Texts of so many lines, cut into runs of neighbouring lines: the runs' lengths."""
+    run = run or RUN
+    parts = -(-many // run)
+    out = np.full(parts.sum(), run)
+    out[np.cumsum(parts) - 1] = many - (parts - 1) * run
+    return out
+
+
+def told_lines(emission: np.ndarray, n: np.ndarray, many: np.ndarray, labels: np.ndarray) -> np.ndarray:
+    """Line labels under document labels: lines that look like the other class by themselves change sides, the surest
+    first, until half of a document's bytes have."""
+    doc = np.repeat(np.arange(len(many)), many)
+    y = labels[doc].astype(float)
+    against = np.where(y == 1, -emission, emission)
+    order = np.lexsort((-against, doc))
+    size = (n + 1)[order]
+    gone = np.cumsum(size)
+    gone -= np.repeat((gone - size)[np.cumsum(many) - many], many)
+    ok = (against[order] > 0) & (2 * gone <= np.bincount(doc, n + 1, len(many))[doc[order]])
+    y[order[ok]] = 1 - y[order[ok]]
+    return y
+
+
+def trained(features: np.ndarray, n: np.ndarray, many: np.ndarray, labels: np.ndarray) -> Chain:
+    """A chain from document labels, by way of line labels."""
+    first = alone(features, np.repeat(labels, many).astype(float))
+    return train(features, runs_of(many), told_lines(first.emissions(features), n, many, labels))
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", held: tuple[int, int] = HELD, sample: int = SAMPLE) -> Chain:
@@ -248,9 +345,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
             rows = []
             for h, y, text in zip(b["h"], b["y"], b["text"]):
                 x, n, many = line_features([(text or "").encode("utf-8", "replace")])
-                x = with_neighbours(x, many)
-                some = np.unique(np.linspace(0, len(x) - 1, min(len(x), LINES)).astype(int))
-                rows.append((h, y, x[some].astype(np.float32).tobytes(), n[some].tolist()))
+                rows.append((h, y, with_neighbours(x, many).astype(np.float32).tobytes(), n.tolist()))
             yield pd.DataFrame(rows, columns=["h", "y", "x", "n"])
 
     rows = texts.mapInPandas(featured, "h long, y int, x binary, n array<double>").collect()
@@ -268,9 +363,9 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     logits = np.empty(len(rows))
     for h in (0, 1):
         part = np.repeat(half, many) == h
-        chain = train(x[~part], many[half != h], y[half != h])
+        chain = trained(x[~part], n[~part], many[half != h], y[half != h])
         logits[half == h] = weighted(chain.marginals(chain.emissions(x[part]), many[half == h]), n[part], many[half == h])
-    chain = train(x, many, y)
+    chain = trained(x, n, many, y)
     chain.curve = logistic(logits, y.astype(float), np.where(y == 1, 0.5 / y.mean(), 0.5 / (1 - y.mean())))
     return chain
 

@@ -190,3 +190,60 @@ def test_line_features_do_not_depend_on_the_batch():
     alone = [quality.line_features([t])[0] for t in texts]
     assert np.allclose(whole, np.concatenate(alone)) and many.tolist() == [len(a) for a in alone]
     assert many.tolist()[3] == 3 and n.sum() == sum(map(len, texts))
+
+
+def test_long_texts_by_pieces(monkeypatch):
+    rng = np.random.default_rng(1)
+    words = [f"w{i}" for i in range(400)]
+    text = "\n".join(" ".join(rng.choice(words, int(rng.integers(0, 30)))) for _ in range(600)).encode() + b"\n" + b"y" * 4000
+    chain = quality.Chain(np.zeros(1), np.ones(1), np.zeros(1), np.array([[0.5, 0.1], [0.0, 0.7]]))
+    whole, n, many = quality.line_features([text])
+    chain.weights = rng.standard_normal(quality.with_neighbours(whole, many).shape[1])
+    want = chain.logits([text, b"short"])
+    monkeypatch.setattr(quality, "CHUNK", 3000)
+    monkeypatch.setattr(quality, "ROWS", 7)
+    own, m, count = quality.line_features([text])
+    assert np.allclose(own, whole) and np.array_equal(n, m) and count.tolist() == many.tolist()
+    assert np.allclose(chain.logits([text, b"short"]), want)
+
+
+def test_lines_of_a_document_differ():
+    """Good lines within bad documents are told good, up to half of the bytes, and the chain learns both transitions."""
+    emission = np.array([3.0, -2, -1, 2, 1, 1, -4, -5])
+    y = quality.told_lines(emission, np.array([10.0, 10, 10, 10, 10, 1, 10, 10]), np.array([4, 4]), np.array([0, 1]))
+    assert y.tolist() == [1, 0, 0, 1, 1, 1, 1, 0]
+    assert quality.runs_of(np.array([3, 130, 64]), 64).tolist() == [3, 64, 64, 2, 64]
+    rng = np.random.default_rng(2)
+    many = np.full(200, 10)
+    truth = np.concatenate([np.where(np.arange(10) < 4, 1, 0)[:: 1 if k % 4 == 1 else -1] if d % 2 else np.ones(10) for k, d in enumerate(range(200))])
+    labels = np.array([1 - d % 2 for d in range(200)])
+    x = np.column_stack([(2 * truth - 1) * 2 + rng.standard_normal(2000), np.ones(2000)])
+    chain = quality.trained(x, np.ones(2000), many, labels)
+    plain = quality.train(x, many, np.repeat(labels, many).astype(float))
+    right = lambda c: ((c.marginals(c.emissions(x), many) > 0.5) == truth).mean()
+    good = chain.marginals(chain.emissions(x), many) > 0.5
+    assert right(chain) > max(0.9, right(plain)) and chain.steps[0, 0] + chain.steps[1, 1] > chain.steps[0, 1] + chain.steps[1, 0]
+    mixed = [i for i in range(200) if 0 < good[10 * i : 10 * i + 10].mean() < 1]
+    assert len(mixed) >= 80
+
+
+def plain_quality(chain, text):
+    """A document's score line by line: marginals by sums over all labellings, weighted by length."""
+    own, n, many = quality.line_features([text.encode()])
+    e = chain.emissions(quality.with_neighbours(own, many))
+    z, good = 0.0, np.zeros(len(e))
+    for code in range(2 ** len(e)):
+        y = [(code >> i) & 1 for i in range(len(e))]
+        p = np.exp(sum(a * b for a, b in zip(e, y)) + sum(chain.steps[a, b] for a, b in zip(y, y[1:])))
+        z, good = z + p, good + p * np.array(y)
+    mean = np.clip(sum((good / z) * (n + 1)) / sum(n + 1), 1e-4, 1 - 1e-4)
+    return 1 / (1 + np.exp(-(chain.curve[0] + chain.curve[1] * np.log(mean / (1 - mean)))))
+
+
+def test_quality_end_to_end(spark):
+    rows, labels = corpus()
+    rows += [(9000, ""), (9001, None), (9002, "One!!\nTwo!!\n\nfour words are here")]
+    table = spark.createDataFrame([(i, q) for i, q, _ in labels], "doc_id long, quality int")
+    chain = quality.fit(docs(spark, rows), table)
+    got = {r["doc_id"]: r["score"] for r in quality.score(docs(spark, rows), table).collect()}
+    assert all(np.isclose(got[i], plain_quality(chain, t or ""), atol=1e-9) for i, t in rows)
