@@ -32,7 +32,7 @@ from .tokens import encoder
 
 CAPACITY, END = 4096, 1
 #: Pieces of a length that are ranked together.
-SLICE = 50_000
+SLICE = 10_000
 
 
 def best_fit(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, int, int, int, int, int]]:
