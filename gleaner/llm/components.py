@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import keep
+from .common import discard, keep
 
 #: The steps end when nothing changes, after O(log^2 n) rounds; this only stops an endless loop.
 ROUNDS = 60
@@ -36,7 +36,8 @@ def components(edges: DataFrame) -> DataFrame:
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")).distinct()
-        edges = keep(small, "edges")
+        old, edges = edges, keep(small, "edges")
+        discard(old)
         state, before = _state(edges), state
         if state == before:
             break

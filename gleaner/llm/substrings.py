@@ -9,15 +9,21 @@ fingerprints of fixed prefixes.
    blocks of WIDTH - PERIOD + 1 bytes at sampled positions. The blocks' fingerprints are sorted, one bucket of
    fingerprints at a time, and ranked: shared between texts, or not.
 2. Suffix blocks. Only suffixes with a shared sampled block within the next PERIOD positions can be repeated. Their WIDTH-byte
-   prefixes are dealt into buckets by one 64-bit fingerprint and sorted within a bucket by another, one bucket at a time;
+   prefixes are dealt into buckets by a fingerprint and sorted within a bucket, one bucket at a time;
    a bucket holds about BUCKET entries, whatever the size of the corpus. Blocks and suffixes that a group of texts has
    several times are settled on the map side, and one entry per group goes on, so a passage that very many texts
-   share does not fill a bucket. (An equal prefix must agree in both: 64 bits and
-   the bucket; by chance two of n prefixes do so at odds of n^2 / 2^65 / buckets.)
+   share does not fill a bucket.
 3. Marking. Texts get back a bit for each suffix they sent and mark what repeated suffixes cover: the spans. Rows whose
    text has any are cut; the others keep their text without a shuffle.
 
-Equal texts are found first by a hash: one of them takes part, all of WIDTH bytes or more lose everything.
+Two prefixes are equal if 79 bits of two independent fingerprints are: 48 of a sum modulo 2^64 and 31 of a sum modulo a prime.
+Among n different prefixes n^2 / 2^80 pairs agree by chance: 0.8 of them among 10^12.
+
+Equal texts are found first by a hash: one of them takes part, all of WIDTH bytes or more lose everything. A key
+that belongs to texts of different second hashes is replaced by the second, so texts count as equal by 128 bits.
+
+A text of more than SEGMENT bytes takes part in segments that overlap by WIDTH - 1 bytes, so that each of its strings of
+WIDTH bytes is in one of them: memory depends on SEGMENT and not on the longest text.
 
 * A null text is empty; texts shorter than WIDTH bytes lose nothing. Matches never cross documents and overlaps count, also
   within one document. Repeated rows count as separate documents. Null ids are allowed; an empty table gives an
@@ -31,10 +37,10 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import keep, partitions, pick, release, sieve
+from .common import discard, keep, partitions, pick, release, sieve
 
 WIDTH = 400
 #: A perfect difference set: every remainder modulo 273 is a difference of two of these 17. Found from the powers of a
@@ -42,7 +48,12 @@ WIDTH = 400
 ORDER = 16
 PERIOD = ORDER * ORDER + ORDER + 1
 #: Entries of a bucket that is sorted at once, and bytes of a text whose fingerprints are computed at once.
-BUCKET, CHUNK = 8 << 20, 8 << 20
+BUCKET, CHUNK = 8 << 20, (1 << 20) - 1024
+#: Bytes of a text that take part at once, of texts whose replies are gathered together, of texts whose sampled blocks are
+#: dealt together, and suffixes dealt together.
+SEGMENT, GATHER, GROUP, SENT = 16 << 20, 256 << 20, 32 << 20, 1 << 20
+#: A prefix's two fingerprints: 48 bits of the one and 16 of the other, then what is left of the other.
+PREFIX = np.dtype([("a", "<u8"), ("b", "<u2")])
 
 
 @lru_cache(maxsize=1)
@@ -111,7 +122,44 @@ class Prints:
         return out
 
 
+class PrimePrints:
+    """Fingerprints modulo the prime 2^31 - 1: no sum of a chunk leaves 64 bits."""
+
+    PRIME = (1 << 31) - 1
+
+    def __init__(self, seed: int):
+        rng = np.random.default_rng([seed, 3])
+        self.word = rng.integers(1, self.PRIME, 256, np.uint64)
+        self.base = int(rng.integers(1 << 20, self.PRIME - 1))
+        self.power = self.back = np.ones(1, np.uint64)
+
+    def _powers(self, base: int, n: int) -> np.ndarray:
+        out, k = np.ones(n, np.uint64), 1
+        while k < n:
+            out[k : 2 * k] = out[: min(k, n - k)] * np.uint64(pow(base, k, self.PRIME)) % np.uint64(self.PRIME)
+            k *= 2
+        return out
+
+    def at(self, data: np.ndarray, places: np.ndarray, width: int) -> np.ndarray:
+        """Fingerprints of data[p : p + width] for ascending places p."""
+        out, q = np.empty(len(places), np.uint64), np.uint64(self.PRIME)
+        for start in range(0, max(len(data), 1), CHUNK):
+            i, j = np.searchsorted(places, [start, start + CHUNK])
+            if i == j:
+                continue
+            own = data[start : start + CHUNK + width]
+            if len(self.power) < len(own):
+                n = 1 << (len(own) - 1).bit_length()
+                self.power, self.back = self._powers(self.base, n), self._powers(pow(self.base, -1, self.PRIME), n)
+            total = np.zeros(len(own) + 1, np.uint64)
+            np.cumsum(self.word[own] * self.power[: len(own)] % q, out=total[1:])
+            p = places[i:j] - start
+            out[i:j] = (total[p + width] - total[p]) % q * self.back[p] % q
+        return out
+
+
 _PRINTS: dict[int, Prints] = {}
+_PRIME_PRINTS: dict[int, PrimePrints] = {}
 
 
 def prints(seed: int) -> Prints:
@@ -120,6 +168,32 @@ def prints(seed: int) -> Prints:
     return _PRINTS[seed]
 
 
+def prefixes(data: np.ndarray, places: np.ndarray, width: int) -> np.ndarray:
+    """Both fingerprints of the strings at ascending places."""
+    out = np.empty(len(places), PREFIX)
+    if len(places):
+        if 2 not in _PRIME_PRINTS:
+            _PRIME_PRINTS[2] = PrimePrints(2)
+        more = _PRIME_PRINTS[2].at(data, places, width)
+        out["a"] = prints(2).at(data, places, width) & np.uint64(0xFFFFFFFFFFFF0000) | more >> np.uint64(15)
+        out["b"] = more & np.uint64(0x7FFF)
+    return out
+
+
+def sorted_prefixes(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(order, whether each in that order equals the one before it)."""
+    first = values["a"].copy()
+    order = np.argsort(first, kind="stable")
+    v = first[order]
+    same = np.r_[False, v[1:] == v[:-1]][: len(v)]
+    b = values["b"][order]
+    if (same[1:] & (b[1:] != b[:-1])).any():
+        order = np.lexsort((values["b"], first))
+        v, b = first[order], values["b"][order]
+        same = np.r_[False, (v[1:] == v[:-1]) & (b[1:] == b[:-1])]
+    return order, same
+
+
 def samples(data: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
     """Sampled positions of a text, and the fingerprints of their blocks."""
     block = width - PERIOD + 1
@@ -176,11 +250,7 @@ def _packed(rows: list[tuple], own: pa.RecordBatch | None = None) -> pa.RecordBa
     return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], _DEAL_NAMES)
 
 
-#: Bytes of texts whose entries are dealt together.
-GROUP = 4 << 20
-
-
-def _sampled(width: int, buckets: int):
+def _sampled(width: int, buckets: int, parts: int, group: int):
     """(key, text) -> sampled blocks by bucket; a text that a task meets again is skipped."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -195,7 +265,7 @@ def _sampled(width: int, buckets: int):
             # a block that several texts of the group have is settled here; one entry tells the other groups
             _, first, back, times = np.unique(every, return_index=True, return_inverse=True, return_counts=True)
             known = times[back] > 1
-            own = _replies(_OWN, buckets, np.array(keys, np.int64), np.bincount(of[known], minlength=len(keys)) * 4, (every[known] & np.uint64(_LOW)).astype("<u4").tobytes())
+            own = _replies(_OWN, parts, np.array(keys, np.int64), np.bincount(of[known], minlength=len(keys)) * 4, (every[known] & np.uint64(_LOW)).astype("<u4").tobytes())
             sent = np.sort(first)
             every, of = every[sent], of[sent]
             rows = list(_dealt(buckets, ((every >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64), (every & np.uint64(_LOW)).astype("<u4"), keys, of))
@@ -223,7 +293,7 @@ def _sampled(width: int, buckets: int):
                     keys.append(~key)
                     found.append(own[times > 1])
                 size += len(data)
-                if size >= GROUP:
+                if size >= group:
                     yield deal()
                     size = 0
         if found:
@@ -335,7 +405,7 @@ def _gather(replies: DataFrame, parts: int) -> DataFrame:
     return replies.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(_gathered, "key long, buckets binary, sizes binary, vals binary")
 
 
-def _suffixes(width: int, buckets: int):
+def _suffixes(width: int, buckets: int, parts: int, sent: int):
     """(key, text, shared) -> prefixes of the candidate suffixes by bucket."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -348,11 +418,11 @@ def _suffixes(width: int, buckets: int):
                 keys.append(key)
                 found.append(own)
                 size += len(own)
-                if size >= GROUP // 4:
-                    yield _deal_suffixes(keys, found, buckets)
+                if size >= sent:
+                    yield _deal_suffixes(keys, found, buckets, parts)
                     keys, found, size = [], [], 0
             if found:
-                yield _deal_suffixes(keys, found, buckets)
+                yield _deal_suffixes(keys, found, buckets, parts)
 
     return run
 
@@ -360,21 +430,21 @@ def _suffixes(width: int, buckets: int):
 def _prefixes(text: pa.Scalar, shared: pa.Scalar, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     data = np.frombuffer(text.as_buffer(), np.uint8)
     places = candidates(data, np.frombuffer(shared.as_buffer(), "<u4").astype(np.uint64), width)
-    return data, places, prints(2).at(data, places, width) if len(places) else np.empty(0, np.uint64)
+    return data, places, prefixes(data, places, width)
 
 
 def _bucket_of(found: np.ndarray, buckets: int) -> np.ndarray:
     # other bits than those that make up most of a sort key's order
-    return ((found * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(40)) % np.uint64(buckets)).astype(np.int64)
+    return ((found["a"] * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(40)) % np.uint64(buckets)).astype(np.int64)
 
 
-def _deal_suffixes(keys: list[int], found: list[np.ndarray], buckets: int) -> pa.RecordBatch:
+def _deal_suffixes(keys: list[int], found: list[np.ndarray], buckets: int, parts: int) -> pa.RecordBatch:
     sizes = np.array([len(f) for f in found])
     of = np.repeat(np.arange(len(keys)), sizes)
     every = np.concatenate(found)
     # a prefix that the group has several times is settled here; its first place tells the other groups
-    order = np.argsort(every, kind="stable")
-    new = np.r_[True, every[order[1:]] != every[order[:-1]]]
+    order, again = sorted_prefixes(every)
+    new = ~again
     sent = np.zeros(len(every), bool)
     sent[order[new]] = True
     same = ~new
@@ -389,7 +459,7 @@ def _deal_suffixes(keys: list[int], found: list[np.ndarray], buckets: int) -> pa
     cuts, lengths = cuts[real], lengths[real]
     starts = cuts - (np.cumsum(sizes) - sizes)[of[cuts]]
     runs = np.column_stack([starts, lengths, state[cuts] > 1]).astype("<u4")
-    own = _replies(_OWN, buckets, np.array(keys, np.int64), np.bincount(of[cuts], minlength=len(keys)) * 12, runs.tobytes())
+    own = _replies(_OWN, parts, np.array(keys, np.int64), np.bincount(of[cuts], minlength=len(keys)) * 12, runs.tobytes())
     every, of = every[sent], of[sent]
     return _packed(list(_dealt(buckets, _bucket_of(every, buckets), every, keys, of)), own)
 
@@ -401,13 +471,12 @@ def _repeated(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.Reco
             yield group
             continue
         bucket, keys, counts, vals = group
-        values = np.frombuffer(b"".join(vals), "<u8")
+        values = np.frombuffer(b"".join(vals), PREFIX)
         vals.clear()
-        order = np.argsort(values)
-        same = values[order[1:]] == values[order[:-1]]
+        order, same = sorted_prefixes(values)
         flag = np.zeros(len(values), bool)
-        flag[order[1:][same]] = True
-        flag[order[:-1][same]] = True
+        flag[order[same]] = True
+        flag[order[:-1][same[1:]]] = True
         ends = np.r_[0, np.cumsum(counts, dtype=np.int64)]
         hits = np.diff(np.r_[0, np.cumsum(flag)][ends])
         bits = [np.packbits(flag[s:e]).tobytes() if n else b"" for s, e, n in zip(ends[:-1].tolist(), ends[1:].tolist(), hits.tolist())]
@@ -423,11 +492,11 @@ def covered(starts: np.ndarray, n: int, width: int) -> list[tuple[int, int]]:
     return list(zip(first.tolist(), np.minimum(last, n).tolist()))
 
 
-def _marked(width: int, buckets: int):
+def _marked(width: int, buckets: int, segment: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = []
-            for key, text, shared, *reply in zip(b.column("key").to_pylist(), *(b.column(c) for c in ("text", "shared", "buckets", "sizes", "bits"))):
+            for of, seg, text, shared, *reply in zip(b.column("of").to_pylist(), b.column("seg").to_pylist(), *(b.column(c) for c in ("text", "shared", "buckets", "sizes", "bits"))):
                 data, places, found = _prefixes(text, shared, width)
                 flag, sent = np.zeros(len(places), bool), np.ones(len(places), bool)
                 from_, sizes, bits = (np.frombuffer(r.as_buffer(), kind) for r, kind in zip(reply, ("<u4", "<u4", np.uint8)))
@@ -445,24 +514,31 @@ def _marked(width: int, buckets: int):
                     at = dealt[order[cut[bucket] : cut[bucket + 1]]]
                     flag[at] |= np.unpackbits(bits[ends[k] : ends[k + 1]], count=len(at)).astype(bool)
                 runs = covered(places[flag], len(data), width)
-                rows.append((key, [{"start": s, "end": e} for s, e in runs]))
-            kinds = [pa.int64(), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))]
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], ["key", "spans"])
+                rows.append((of, [{"start": s + seg * segment, "end": e + seg * segment} for s, e in runs]))
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate([pa.int64(), _SPAN_LIST])], ["key", "spans"])
 
     return run
 
 
 _SPANS = "array<struct<start: bigint, end: bigint>>"
+_SPAN_LIST = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, n_bytes, spans, text) -> the same with what the spans leave of the text."""
+    """(doc_id, n_bytes, spans, text) -> the same with spans of neighbouring segments joined, and what they leave of the text."""
     for b in batches:
-        kept = []
+        kept, every = [], []
         for text, spans in zip(b.column("text").to_pylist(), b.column("spans").to_pylist()):
-            cuts = [0, *(x for span in spans for x in (span["start"], span["end"])), len(text)]
+            runs: list[list[int]] = []
+            for span in spans:
+                if runs and span["start"] <= runs[-1][1]:
+                    runs[-1][1] = max(runs[-1][1], span["end"])
+                else:
+                    runs.append([span["start"], span["end"]])
+            cuts = [0, *(x for run in runs for x in run), len(text)]
             kept.append(b"".join(text[i:j] for i, j in zip(cuts[::2], cuts[1::2])))
-        yield pa.RecordBatch.from_arrays([*map(b.column, ("doc_id", "n_bytes", "spans")), pa.array(kept, pa.binary())], ["doc_id", "n_bytes", "spans", "kept"])
+            every.append([{"start": i, "end": j} for i, j in runs])
+        yield pa.RecordBatch.from_arrays([*map(b.column, ("doc_id", "n_bytes")), pa.array(every, _SPAN_LIST), pa.array(kept, pa.binary())], ["doc_id", "n_bytes", "spans", "kept"])
 
 
 def remove(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH) -> DataFrame:
@@ -476,6 +552,33 @@ def summary(found: DataFrame) -> DataFrame:
     return found.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def text_key(seed: int) -> Column:
+    return F.xxhash64(F.lit(seed), "text")
+
+
+def _keyed(texts: DataFrame) -> tuple[DataFrame, Column]:
+    """One row per text, without it (doc_id, key, n_bytes), and the key as an expression of the text."""
+    rows = keep(texts.select("doc_id", text_key(7).alias("key"), text_key(8).alias("second"), F.octet_length("text").cast("long").alias("n_bytes")), "texts")
+    # keys of different texts: about n^2 / 2^65 of n texts, so none but in very large corpora
+    clash = [r["key"] for r in rows.groupBy("key").agg(F.min("second").alias("a"), F.max("second").alias("b")).where("a <> b").select("key").collect()]
+    pick_key = lambda key, second: F.when(key.isin(clash), second).otherwise(key) if clash else key
+    return rows.withColumn("key", pick_key(F.col("key"), F.col("second"))).drop("second"), pick_key(text_key(7), text_key(8))
+
+
+def _segment_key(key: Column, seg: Column) -> Column:
+    return F.when(seg == 0, key).otherwise(F.xxhash64(key, seg))
+
+
+def _segments(texts: DataFrame, key: Column, width: int) -> DataFrame:
+    """(doc_id, key, text) of the segments of all texts of ``width`` bytes or more."""
+    n = F.octet_length("text")
+    binary = F.col("text").cast("binary")
+    cut = lambda i: F.struct(i.alias("seg"), F.when(n <= SEGMENT, binary).otherwise(F.substring(binary, i * SEGMENT + 1, F.lit(SEGMENT + width - 1))).alias("text"))
+    parts = F.transform(F.sequence(F.lit(0), F.floor((n - width) / SEGMENT).cast("int")), cut)
+    rows = texts.where(n >= width).select("doc_id", key.alias("of"), F.explode(parts).alias("part"))
+    return rows.select("doc_id", _segment_key(F.col("of"), F.col("part.seg")).alias("key"), F.col("part.text").alias("text"))
+
+
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH) -> DataFrame:
     """One row per input row: doc_id, n_bytes, spans, kept.
 
@@ -484,41 +587,47 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     if width < PERIOD + 16:
         raise ValueError(f"width must be at least {PERIOD + 16}")
     spark = docs.sparkSession
-    # texts are known by a 64-bit hash; sizes and copies of all rows come first
+    # sizes and copies of all rows come first
     texts = pick(docs, doc_id=id_col, text=text_col).withColumn("text", F.coalesce("text", F.lit("")))
-    key = F.xxhash64(F.lit(7), "text")
-    rows = keep(texts.select("doc_id", key.alias("key"), F.octet_length("text").cast("long").alias("n_bytes")), "texts")
+    rows, key = _keyed(texts)
     total = rows.agg(F.sum("n_bytes")).first()[0] or 0
-    long = F.octet_length("text") >= width
-    keyed = texts.where(long).select(key.alias("key"), F.col("text").cast("binary").alias("text"))
     density = len(difference_cover()) / PERIOD
     buckets = max(partitions(spark), int(total * density) // BUCKET + 1)
-    blocks = keyed.mapInArrow(_sampled(width, buckets), _DEAL).repartition(buckets, "bucket").sortWithinPartitions("bucket")
-    tell = lambda f: lambda batches: f(batches, buckets)
-    shared = keep(_gather(blocks.mapInArrow(tell(_shared), _REPLIES), buckets).select("key", F.col("vals").alias("shared")), "shared-blocks")
+    parts = max(partitions(spark), total // GATHER + 1)
+    blocks = _segments(texts, key, width).select("key", "text").mapInArrow(_sampled(width, buckets, parts, GROUP), _DEAL)
+    blocks = blocks.repartition(buckets, "bucket").sortWithinPartitions("bucket")
+    tell = lambda f, parts: lambda batches: f(batches, parts)
+    shared = keep(_gather(blocks.mapInArrow(tell(_shared, parts), _REPLIES), parts).select("key", F.col("vals").alias("shared")), "shared-blocks")
     release(spark)
     del blocks
-    # who takes part: of equal texts the row of the smallest id, if it shares a block
-    counts = rows.groupBy("key").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("copies"))
-    chosen = shared.join(counts.select(F.col("key").alias("c_key"), "first_id"), F.col("key") == F.col("c_key")).select("key", "first_id", "shared")
-    full = texts.where(long).select("doc_id", key.alias("t_key"), F.col("text").cast("binary").alias("text"))
-    parts = full.join(chosen, F.col("doc_id").eqNullSafe(F.col("first_id")) & (F.col("t_key") == F.col("key"))).select("key", "text", "shared")
+    # who takes part: of equal texts the row of the smallest id, in segments that share a block
+    counts = rows.groupBy("key").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("copies"), F.max("n_bytes").alias("n_bytes"))
+    places = counts.where(F.col("n_bytes") >= width).withColumn("seg", F.explode(F.sequence(F.lit(0), F.floor((F.col("n_bytes") - width) / SEGMENT).cast("int"))))
+    places = places.select(F.col("key").alias("of"), "seg", _segment_key(F.col("key"), F.col("seg")).alias("c_key"), "first_id")
+    chosen = shared.join(places, F.col("key") == F.col("c_key")).select("key", "of", "seg", "first_id", "shared")
+    full = _segments(texts, key, width).withColumnRenamed("key", "t_key")
+    taking = full.join(chosen, F.col("doc_id").eqNullSafe(F.col("first_id")) & (F.col("t_key") == F.col("key"))).select("key", "of", "seg", "text", "shared")
     if rows.groupBy("doc_id", "key").count().where("count > 1").take(1):
-        parts = parts.dropDuplicates(["key"])
-    parts = keep(parts, "participants")
-    del shared, chosen, full
+        taking = taking.dropDuplicates(["key"])
+    taking = keep(taking, "participants")
+    discard(shared)
+    del chosen, full
     release(spark)
-    held = parts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    buckets = max(partitions(spark), held // BUCKET + 1)
-    suffixes = parts.mapInArrow(_suffixes(width, buckets), _DEAL).repartition(buckets, "bucket").sortWithinPartitions("bucket")
-    replies = keep(_gather(suffixes.mapInArrow(tell(_repeated), _REPLIES), buckets), "repeated")
+    held = taking.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    buckets, parts = max(partitions(spark), held // BUCKET + 1), max(partitions(spark), held // GATHER + 1)
+    suffixes = taking.select("key", "text", "shared").mapInArrow(_suffixes(width, buckets, parts, SENT), _DEAL).repartition(buckets, "bucket").sortWithinPartitions("bucket")
+    replies = keep(_gather(suffixes.mapInArrow(tell(_repeated, parts), _REPLIES), parts), "repeated")
     del suffixes
     release(spark)
-    replies = replies.select(F.col("key").alias("r_key"), "buckets", "sizes", F.col("vals").alias("bits"))
-    joined = parts.join(replies, F.col("key") == F.col("r_key")).select("key", "text", "shared", "buckets", "sizes", "bits")
-    marks = keep(joined.mapInArrow(_marked(width, buckets), f"key long, spans {_SPANS}").where("size(spans) > 0"), "marks")
+    bits = replies.select(F.col("key").alias("r_key"), "buckets", "sizes", F.col("vals").alias("bits"))
+    joined = taking.join(bits, F.col("key") == F.col("r_key")).select("of", "seg", "text", "shared", "buckets", "sizes", "bits")
+    marks = joined.mapInArrow(_marked(width, buckets, SEGMENT), f"key long, spans {_SPANS}").where("size(spans) > 0")
+    # a text's segments meet here
+    marks = keep(marks.groupBy("key").agg(F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans")), "marks")
+    discard(taking, replies)
     # a table of its own, so that the join with the rows may split a key that many rows share
     verdict = keep(counts.select("key", "copies").join(marks, "key", "left").where("copies > 1 or spans is not null"), "verdicts")
+    discard(marks)
     every = texts.select("doc_id", key.alias("key"), F.octet_length("text").cast("long").alias("n_bytes"), F.col("text").cast("binary").alias("text"))
     sifted = sieve(every, "key", verdict.select("key"))
     none = F.array().cast(_SPANS)

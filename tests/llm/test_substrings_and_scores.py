@@ -4,6 +4,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from gleaner.llm import quality, substrings, toxicity
 
@@ -35,9 +36,15 @@ def test_difference_cover():
     assert Counter(((d[:, None] - d) % substrings.PERIOD).ravel().tolist()) == {0: len(d), **dict.fromkeys(range(1, substrings.PERIOD), 1)}
 
 
-@pytest.mark.parametrize("width", [400, 300])
-def test_removal(spark, monkeypatch, width):
+@pytest.mark.parametrize("width, segment, clash", [(400, 16 << 20, False), (300, 16 << 20, True), (400, 700, False)])
+def test_removal(spark, monkeypatch, width, segment, clash):
+    """Against a plain version; also with texts cut into segments, and where most texts have one key."""
     monkeypatch.setattr(substrings, "GROUP", 4000)
+    monkeypatch.setattr(substrings, "SENT", 1000)
+    monkeypatch.setattr(substrings, "SEGMENT", segment)
+    if clash:
+        real = substrings.text_key
+        monkeypatch.setattr(substrings, "text_key", lambda seed: real(seed) if seed != 7 else F.pmod(real(seed), F.lit(3)))
     rng = np.random.default_rng(0)
     text = lambda n: "".join(rng.choice(list("abcdé \n"), n))
     x, y = text(900), text(2000)
@@ -49,6 +56,24 @@ def test_removal(spark, monkeypatch, width):
     assert sorted((tuple(r) for r in got), key=repr) == plain_removal(rows, width)
 
 
+def test_prefixes():
+    """Both fingerprints depend on the string alone, and ties of the first are settled by the rest."""
+    rng = np.random.default_rng(3)
+    data = rng.integers(0, 4, 3_000_000).astype(np.uint8)
+    data[2_500_000:2_500_700] = data[100:800]
+    places = np.r_[np.arange(0, 400), np.arange(1_048_000, 1_049_000), np.arange(2_500_000, 2_500_300)]
+    found = substrings.prefixes(data, places, 400)
+    assert (found[100:400] == found[1400:1700]).all() and len(np.unique(found)) == 1400
+    alone = substrings.prefixes(data[1_048_500 : 1_048_900], np.array([0]), 400)
+    assert alone[0] == found[400 + 500]
+    p, x = substrings.PrimePrints(5), bytes(rng.integers(0, 256, 50, np.uint8))
+    plain = sum(int(p.word[b]) * pow(p.base, i, p.PRIME) for i, b in enumerate(x[7:40])) % p.PRIME
+    assert p.at(np.frombuffer(x, np.uint8), np.array([7]), 33)[0] == plain
+    v = np.array([(5, 1), (5, 2), (4, 9), (5, 1)], substrings.PREFIX)
+    order, same = substrings.sorted_prefixes(v)
+    assert v[order].tolist() == [(4, 9), (5, 1), (5, 1), (5, 2)] and same.tolist() == [False, False, True, False]
+
+
 def test_removed_spans_and_kept_text(spark):
     rng = np.random.default_rng(1)
     text = lambda n: "".join(rng.choice(list("abcdé \n"), n))
