@@ -7,7 +7,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Rows up to which one sort chooses; beyond, quantiles bound a narrow band first and only that is sorted.
@@ -30,7 +30,8 @@ def smallest(rows: DataFrame, key: str, k: int, id_col: str = "config_id", total
     """The ids of the k rows with the smallest (key, id); rows with a null key are no candidates.
 
     Large tables never meet in one task: approximate quantiles around rank k give a band that surely holds the k-th
-    row (checked by exact counts, widened if not), all rows below it are taken, and only the band is ranked.
+    row (checked by exact counts, widened if not), all rows below it are taken, and the choice goes on within the band:
+    by the key while the band is large, by the id where all its keys are equal.
     """
     rows = rows.where(F.col(key).isNotNull())
     total = rows.count() if total is None else total
@@ -50,8 +51,22 @@ def smallest(rows: DataFrame, key: str, k: int, id_col: str = "config_id", total
         if below <= k <= upto:
             break
         margin *= 2
-    band = rows.where((F.col(key) >= low) & (F.col(key) <= high)).withColumn("place", F.row_number().over(Window.orderBy(key, id_col)))
-    return rows.where(F.col(key) < low).select(id_col).unionByName(band.where(F.col("place") <= k - below).select(id_col))
+    band, n, more = rows.where((F.col(key) >= low) & (F.col(key) <= high)), upto - below, k - below
+    if n <= SORTABLE:
+        rest = band.orderBy(key, id_col).limit(more).select(id_col)
+    elif low < high and n < total:
+        rest = smallest(band, key, more, id_col, n)
+    elif key != id_col:
+        rest = smallest(band.select(id_col), id_col, more, id_col, n) if low == high else _ranked(band, key, more, id_col)
+    else:
+        rest = band.limit(more).select(id_col)  # one id, again and again
+    return rows.where(F.col(key) < low).select(id_col).unionByName(rest)
+
+
+def _ranked(rows: DataFrame, key: str, k: int, id_col: str) -> DataFrame:
+    """For bands that quantiles can't narrow: the k-th row by a global sort, which is distributed."""
+    last = rows.orderBy(key, id_col).select(key, id_col).offset(k - 1).limit(1).first()
+    return rows.where((F.col(key) < last[0]) | ((F.col(key) == last[0]) & (F.col(id_col) <= last[1]))).select(id_col)
 
 
 def half_even(x: float) -> int:

@@ -109,12 +109,20 @@ class Factor:
         return Factor(fold([self.r, x], self.p), self.xty + x.T @ y)
 
 
-def tsqr(frame: DataFrame, p: int, moments: bool = True) -> Factor:
-    """R and X'y of a frame's weighted rows in one pass."""
+def root(g: np.ndarray) -> np.ndarray:
+    """Rows whose product X'X is a given sum of such products: as many as its rank, however many rows it was summed from."""
+    w, v = np.linalg.eigh(g)
+    some = w > np.finfo(float).eps * len(g) * max(w[-1], 0.0)
+    return np.sqrt(w[some])[:, None] * v[:, some].T
+
+
+def tsqr(frame: DataFrame, p: int, moments: bool = True, gather: int | None = None) -> Factor:
+    """R and X'y of a frame's weighted rows in one pass; at most ``gather`` bytes of triangles reach the driver."""
+    gather = GATHER if gather is None else gather
     cols = ["features", "w"] + (["y"] if moments else [])
     parts = frame.select(*cols).mapInArrow(_partials(p, moments), "r array<double>, xty array<double>")
-    tasks = parts.rdd.getNumPartitions() if p * p * 8 * 1000 > GATHER else 1
-    while tasks * p * p * 8 > GATHER:
+    tasks = parts.rdd.getNumPartitions() if p * p * 8 * 1000 > gather else 1
+    while tasks > 1 and tasks * p * p * 8 > gather:
         tasks = -(-tasks // FOLD)
         parts = parts.repartition(tasks).mapInArrow(_folded(p), "r array<double>, xty array<double>")
     rows = parts.collect()

@@ -136,24 +136,32 @@ def boundaries(frame: DataFrame, order: str = "row_id", check: bool = False) ->
 def range_ends(counts: DataFrame, parts: int) -> DataFrame:
     """The cut after part i: the configuration boundary nearest to i/parts of all rows: (part, end_row, end_config).
 
-    ``counts`` has (config_id, n_rows); configurations follow each other by id. Running sums are taken within cells of
-    ids, on top of the sums of the cells before.
+    ``counts`` has (config_id, n_rows); configurations follow each other by id. Every part gets one configuration at least:
+    where the nearest boundary lies at or before the cut before, the next one is taken, as in ``balanced_ranges``. Running
+    sums are taken within cells of ids, on top of the sums of the cells before.
     """
+    spark = counts.sparkSession
     total, many = counts.agg(F.sum("n_rows"), F.count(F.lit(1))).first()
     if parts > (many or 0):
         raise ValueError(f"{parts} parts of {many} configurations")
     counts = counts.withColumn("cell", cell_of(counts, "config_id"))
-    cells = counts.groupBy("cell").agg(F.sum("n_rows").alias("sum"))
-    cells = cells.select("cell", (F.sum("sum").over(Window.orderBy("cell")) - F.col("sum")).alias("base"))
+    cells = counts.groupBy("cell").agg(F.sum("n_rows").alias("sum"), F.count(F.lit(1)).alias("n"))
+    below = lambda c: (F.sum(c).over(Window.orderBy("cell")) - F.col(c))  # noqa: E731  at most CELLS rows
+    cells = cells.select("cell", below("sum").alias("base"), below("n").alias("first"))
     own = Window.partitionBy("cell").orderBy("config_id")
-    ends = counts.withColumn("run", F.sum("n_rows").over(own)).join(F.broadcast(cells), "cell").select("config_id", (F.col("base") + F.col("run")).alias("end_row"))
-    # one pass of partial minima, however many configurations there are
-    targets = [F.struct(F.lit(i).alias("part"), F.abs(F.col("end_row") - F.lit(total * i / parts)).alias("d")) for i in range(1, parts)]
-    if not targets:
+    ends = counts.withColumns({"run": F.sum("n_rows").over(own), "k": F.row_number().over(own)}).join(F.broadcast(cells), "cell")
+    ends = ends.select("config_id", (F.col("base") + F.col("run")).alias("end_row"), (F.col("first") + F.col("k")).alias("k"))
+    if parts == 1:
         return ends.limit(0).select(F.lit(1).alias("part"), "end_row", F.col("config_id").alias("end_config"))
-    best = ends.select(*[F.min(F.struct(t["d"].alias("d"), F.col("end_row").alias("end_row"), F.col("config_id").alias("id"))).alias(f"p{i}") for i, t in enumerate(targets, 1)])
-    found = best.select(F.explode(F.array(*[F.struct(F.lit(i).alias("part"), F.col(f"p{i}.end_row").alias("end_row"), F.col(f"p{i}.id").alias("end_config")) for i in range(1, parts)])).alias("x"))
-    return found.select("x.part", "x.end_row", "x.end_config")
+    # one pass of partial minima, however many configurations there are
+    best = ends.select(*[F.min(F.struct(F.abs(F.col("end_row") - F.lit(total * i / parts)).alias("d"), "k")).alias(f"p{i}") for i in range(1, parts)]).first()
+    cuts, last = [], 0
+    for i in range(1, parts):
+        # distances fall and rise again along the boundaries, so the nearest one allowed is the nearest or next to the cut before
+        last = min(max(best[f"p{i}"]["k"], last + 1), many - (parts - i))
+        cuts.append((i, last))
+    chosen = spark.createDataFrame(cuts, "part int, k long")
+    return ends.join(F.broadcast(chosen), "k").select("part", "end_row", F.col("config_id").alias("end_config"))
 
 
 def balanced_ranges(counts: list[int], parts: int) -> list[tuple[int, int]]:
@@ -174,3 +182,10 @@ def balanced_ranges(counts: list[int], parts: int) -> list[tuple[int, int]]:
 def split_configs(frame: DataFrame, by: Column) -> DataFrame:
     """Configurations that a partitioning splits: (config_id, parts); none if it respects them."""
     return frame.groupBy("config_id").agg(F.count_distinct(by).alias("parts")).where("parts > 1")
+
+
+def check_respected(frame: DataFrame, by: Column) -> None:
+    """Raise if a partitioning splits a configuration."""
+    found = [r["config_id"] for r in split_configs(frame, by).limit(5).collect()]
+    if found:
+        raise ValueError(f"configurations in several parts, such as {found}")

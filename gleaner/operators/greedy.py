@@ -4,6 +4,9 @@ Each configuration is reduced once to G = X~'X~ and v = X~'y~. With A the normal
 far, a configuration's block score is g' (A +- G)^-1 g with g = G beta - v, the same number as r' (I +- H)^-1 H r over its
 rows; taking it moves A by G and b by v. Scores of energy rows need only those rows. What is left per step is a scan
 over compressed candidates: on the driver while they fit there, by one aggregate job per step otherwise.
+
+A step's update follows the chosen method: rows that have G as their sum (``factor.root``) are appended to a triangle (qr) or
+change the inverse by their rank (woodbury). With ``svd`` small singular values are left out of coefficients and scores.
 """
 
 from __future__ import annotations
@@ -17,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .factor import gram_columns, stacked
+from .factor import Factor, fold, gram_columns, root, stacked, woodbury
 from .frame import width
 
 #: Bytes of compressed candidates that the driver may hold.
@@ -63,9 +66,12 @@ def statistics(frame: DataFrame, p: int) -> DataFrame:
     return rows.select("config_id", F.slice(values, 1, p * p).alias("g"), F.slice(values, p * p + 1, p).alias("v"))
 
 
-def block_scores(g: np.ndarray, v: np.ndarray, a: np.ndarray, beta: np.ndarray, add: bool) -> np.ndarray:
+def block_scores(g: np.ndarray, v: np.ndarray, a: np.ndarray, beta: np.ndarray, add: bool, svd: bool = False) -> np.ndarray:
     """Scores of many configurations: g (n, p, p), v (n, p)."""
     q = g @ beta - v
+    if svd:
+        inverse = np.linalg.pinv(a + g if add else a - g, rcond=a.shape[0] * 1e-15, hermitian=True)
+        return np.einsum("ni,nij,nj->n", q, inverse, q)
     return np.einsum("ni,ni->n", q, np.linalg.solve(a + g if add else a - g, q[..., None])[..., 0])
 
 
@@ -78,15 +84,47 @@ def energy_scores(x: np.ndarray, y: np.ndarray, inverse: np.ndarray, beta: np.nd
 
 @dataclass
 class State:
-    """What is chosen, its normal matrix and moments."""
+    """What is chosen, its normal matrix and moments, and the factor by which they move."""
 
     a: np.ndarray
     b: np.ndarray
     chosen: set[int] = field(default_factory=set)
     steps: list[tuple[int, int, float]] = field(default_factory=list)
+    method: str = "woodbury"
+    svd: bool = False
+    r: np.ndarray | None = None
+    inv: np.ndarray | None = None
+
+    def __post_init__(self):
+        self.anew(self.a, self.b)
+
+    def anew(self, a: np.ndarray, b: np.ndarray) -> None:
+        """From sums over all that is chosen."""
+        self.a, self.b, self.inv = a, b, None
+        self.r = fold([root(a)], len(a)) if self.method == "qr" else None
+        if self.method == "woodbury" and not self.svd:
+            self.inv = np.linalg.inv(a)
+
+    def inverse(self) -> np.ndarray:
+        if self.svd:
+            r = self.r if self.r is not None else fold([root(self.a)], len(self.a))
+            return Factor(r, self.b).svd()[0]
+        return Factor(self.r, self.b).inverse() if self.r is not None else self.inv
 
     def beta(self) -> np.ndarray:
-        return np.linalg.solve(self.a, self.b)
+        if self.r is not None and not self.svd:
+            return Factor(self.r, self.b).coefficients()
+        return self.inverse() @ self.b
+
+    def move(self, i: int, g: np.ndarray, v: np.ndarray, add: bool) -> None:
+        """A configuration comes or goes."""
+        self.chosen.add(i) if add else self.chosen.discard(i)
+        x, sign = root(g), 1.0 if add else -1.0
+        if self.r is not None:
+            self.r = Factor(self.r, self.b).append(x, np.zeros(len(x))).r
+        elif self.inv is not None:
+            self.inv, _ = woodbury(self.inv, self.b, x, np.zeros(len(x)), add)
+        self.a, self.b = self.a + sign * g, self.b + sign * v
 
 
 class Local:
@@ -110,6 +148,9 @@ class Local:
     def energy_rows(self, chosen: set[int]) -> int:
         return int(np.isin(self.e_ids, list(chosen)).sum())
 
+    def release(self) -> None:
+        pass
+
     def block(self, i: int) -> tuple[np.ndarray, np.ndarray]:
         k = int(np.searchsorted(self.ids, i))
         return self.g[k], self.v[k]
@@ -121,28 +162,53 @@ class Local:
             return None
         beta = state.beta()
         if block:
-            scores = block_scores(self.g[allowed], self.v[allowed], state.a, beta, add)
+            scores = block_scores(self.g[allowed], self.v[allowed], state.a, beta, add, state.svd)
         else:
-            scores = energy_scores(self.e_x[allowed], self.e_y[allowed], np.linalg.inv(state.a), beta)
+            scores = energy_scores(self.e_x[allowed], self.e_y[allowed], state.inverse(), beta)
         # the first of equal scores has the smallest id
         k = int(np.argmax(scores) if add else np.argmin(scores))
         return int(ids[allowed][k]), float(scores[k])
 
 
 class Spread:
-    """Candidates that stay on the executors, in a table in the shared folder or the cache."""
+    """Candidates that stay on the executors, in the cache until ``release``.
 
-    def __init__(self, stats: DataFrame, energy: DataFrame, p: int):
-        self.stats, self.energy, self.p = stats.cache(), energy.cache(), p
+    What was chosen at some step is a column of the cached tables; a step sends only what has changed since, and after
+    REFRESH changes the column is made anew.
+    """
 
-    def _in(self, frame: DataFrame, chosen: set[int], inside: bool) -> DataFrame:
-        spark = frame.sparkSession
-        ids = spark.createDataFrame([(i,) for i in sorted(chosen)], "config_id long")
-        return frame.join(ids, "config_id", "left_semi" if inside else "left_anti")
+    def __init__(self, stats: DataFrame, energy: DataFrame, p: int):
+        self.plain, self.p = {"stats": stats, "energy": energy}, p
+        self.base: set[int] | None = None
+        self.tables: dict[str, DataFrame] = {}
+
+    def release(self) -> None:
+        for t in self.tables.values():
+            t.unpersist()
+        self.tables, self.base = {}, None
+
+    def _table(self, name: str, chosen: set[int]) -> DataFrame:
+        """The table with a column ``inside``: whether a configuration is among the chosen."""
+        if self.base is None or len(self.base ^ chosen) > REFRESH:
+            self.release()
+            self.base = set(chosen)
+            spark = self.plain["stats"].sparkSession
+            ids = spark.createDataFrame([(i, True) for i in sorted(chosen)], "config_id long, base boolean")
+            self.tables = {k: t.join(ids, "config_id", "left").withColumn("base", F.coalesce("base", F.lit(False))).persist() for k, t in self.plain.items()}
+        flag = F.col("base")
+        if more := sorted(chosen - self.base):
+            flag = flag | F.col("config_id").isin(more)
+        if gone := sorted(self.base - chosen):
+            flag = flag & ~F.col("config_id").isin(gone)
+        return self.tables[name].withColumn("inside", flag)
+
+    def _in(self, name: str, chosen: set[int], inside: bool) -> DataFrame:
+        table = self._table(name, chosen)
+        return table.where("inside" if inside else "not inside")
 
     def total(self, chosen: set[int]) -> tuple[np.ndarray, np.ndarray]:
         p = self.p
-        own = self._in(self.stats, chosen, True).select(F.concat("g", "v").alias("x"))
+        own = self._in("stats", chosen, True).select(F.concat("g", "v").alias("x"))
         sums = own.select(F.posexplode("x").alias("i", "x")).groupBy("i").agg(F.sum("x").alias("x")).collect()
         flat = np.zeros(p * p + p)
         for r in sums:
@@ -150,23 +216,23 @@ class Spread:
         return flat[: p * p].reshape(p, p), flat[p * p :]
 
     def energy_rows(self, chosen: set[int]) -> int:
-        return self._in(self.energy, chosen, True).count()
+        return self._in("energy", chosen, True).count()
 
     def block(self, i: int) -> tuple[np.ndarray, np.ndarray]:
-        r = self.stats.where(F.col("config_id") == i).first()
+        r = self.tables["stats"].where(F.col("config_id") == i).first()
         return np.array(r["g"]).reshape(self.p, self.p), np.array(r["v"])
 
     def best(self, state: State, add: bool, block: bool) -> tuple[int, float] | None:
         p, beta = self.p, state.beta()
-        inverse, a = np.linalg.inv(state.a), state.a
-        frame = self._in(self.stats if block else self.energy, state.chosen, not add)
+        inverse, a, svd = state.inverse(), state.a, state.svd
+        frame = self._in("stats" if block else "energy", state.chosen, not add)
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for d in batches:
                 if not len(d):
                     continue
                 if block:
-                    s = block_scores(np.stack(d["g"]).reshape(-1, p, p), np.stack(d["v"]), a, beta, add)
+                    s = block_scores(np.stack(d["g"]).reshape(-1, p, p), np.stack(d["v"]), a, beta, add, svd)
                 else:
                     w = d["w"].to_numpy()
                     s = energy_scores(np.stack(d["features"]) * w[:, None], d["y"].to_numpy() * w, inverse, beta)
@@ -187,14 +253,24 @@ def candidates(frame: DataFrame, p: int, limit: int = DRIVER) -> Local | Spread:
     return Spread(stats, energy, p)
 
 
-def stepwise(frame: DataFrame, k: int, initial: set[int], block: bool, ascending: bool = True, strict: bool = True, found: Local | Spread | None = None) -> State:
+def stepwise(
+    frame: DataFrame,
+    k: int,
+    initial: set[int],
+    block: bool,
+    ascending: bool = True,
+    strict: bool = True,
+    found: Local | Spread | None = None,
+    method: str = "auto",
+    svd: bool = False,
+) -> State:
     """Add (ascending) or remove configurations until k energy rows are chosen.
 
     With ``strict`` a start that is past k already raises; without, it is returned as it is.
     """
     found = found or candidates(frame, width(frame))
     a, b = found.total(initial)
-    state = State(a, b, set(initial))
+    state = State(a, b, set(initial), method=update_policy(method, ascending, block, not svd), svd=svd)
     n = found.energy_rows(state.chosen)
     if strict and (n > k if ascending else n < k):
         raise ValueError(f"{n} chosen at the start, {k} wanted: no step in this direction leads there")
@@ -203,21 +279,15 @@ def stepwise(frame: DataFrame, k: int, initial: set[int], block: bool, ascending
         if best is None:
             break
         i, score = best
-        g, v = found.block(i)
-        if ascending:
-            state.chosen.add(i)
-            state.a, state.b = state.a + g, state.b + v
-        else:
-            state.chosen.discard(i)
-            state.a, state.b = state.a - g, state.b - v
+        state.move(i, *found.block(i), ascending)
         state.steps.append((len(state.steps) + 1, i, score))
         if len(state.steps) % REFRESH == 0:
-            state.a, state.b = found.total(state.chosen)
+            state.anew(*found.total(state.chosen))
     return state
 
 
 def update_policy(method: str, ascending: bool, block: bool, has_r: bool) -> str:
-    """Which update a step would use: rows can only be appended to a QR, never removed from it."""
+    """Which update a step uses: rows can only be appended to a QR, never removed from it."""
     if method not in ("auto", "qr", "woodbury"):
         raise ValueError(f"update method must be auto, qr or woodbury, not {method!r}")
     if method == "qr" and not ascending:

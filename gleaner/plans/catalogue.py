@@ -3,14 +3,15 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import evaluate, greedy, score
 from ..operators import frame as frames_of
 from ..operators.factor import gram as gram_sums
-from ..operators.factor import tsqr
+from ..operators.factor import Factor, root, tsqr, woodbury
 from ..sampling import CooksSampler, LeverageSampler, Sampler, Study
+from ..sources import containers, npy, synthetic
 from . import frames as T
 
 TEST, SEED, SUB = 0.25, 41, 0.2
@@ -86,11 +87,80 @@ def partition_ranges_balanced(spark: SparkSession, sf_dir: str) -> DataFrame:
     return frames_of.range_ends(frames_of.row_counts(T.lineitem(spark, sf_dir)), 8)
 
 
-@query("SELECT CAST(NULL AS BIGINT) AS config_id, CAST(NULL AS BIGINT) AS parts WHERE false")
+#: A source of skew: the last configuration counts for more rows than all others together.
+_SKEWED = "CASE WHEN config_id = max(config_id) OVER () THEN 200000::BIGINT ELSE 1::BIGINT END"
+
+
+@query(
+    f"""WITH {T.FE}, c AS (SELECT config_id, {_SKEWED} AS n FROM (SELECT DISTINCT config_id FROM fe)),
+e AS (SELECT config_id, sum(n) OVER (ORDER BY config_id) AS end_row, row_number() OVER (ORDER BY config_id) AS k, count(*) OVER () AS many, sum(n) OVER () AS total FROM c),
+d AS (SELECT part::INT AS part, k, many, row_number() OVER (PARTITION BY part ORDER BY abs(end_row - total * part / 6.0), k) AS rk FROM e, range(1, 6) AS x(part)),
+p AS (SELECT part, part + least(max(k - part) OVER (ORDER BY part), many - 6) AS k FROM d WHERE rk = 1)
+SELECT part, end_row::BIGINT AS end_row, config_id AS end_config FROM p JOIN e USING (k)"""
+)
+def partition_ranges_skewed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every part gets a configuration, though one of them holds nearly all rows."""
+    ids = frames_of.config_ids(T.events(spark, sf_dir))
+    last = ids.agg(F.max("config_id")).first()[0]
+    counts = ids.withColumn("n_rows", F.when(F.col("config_id") == last, F.lit(200_000)).otherwise(F.lit(1)).cast("long"))
+    return frames_of.range_ends(counts, 6)
+
+
+@query(f"WITH {T.FL} SELECT 'by place' AS partitioning, config_id, count(DISTINCT row_id % 3)::BIGINT AS parts FROM fl GROUP BY config_id HAVING count(DISTINCT row_id % 3) > 1")
 def split_config_check(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A partitioning by hash of the configuration splits none."""
-    f = T.lineitem(spark, sf_dir).repartition("config_id").withColumn("part", F.spark_partition_id())
-    return frames_of.split_configs(f, F.col("part"))
+    """A partitioning by hash of the configuration splits none; one by the rows' places splits all but the smallest."""
+    f = T.lineitem(spark, sf_dir)
+    by_hash = frames_of.split_configs(f.repartition("config_id").withColumn("part", F.spark_partition_id()), F.col("part"))
+    by_place = frames_of.split_configs(f, F.col("row_id") % 3)
+    return by_hash.select(F.lit("by hash").alias("partitioning"), "*").unionByName(by_place.select(F.lit("by place").alias("partitioning"), "*"))
+
+
+# sources
+
+
+@query(f"WITH {T.FE} SELECT config_id, count(*) AS n_rows, sum(is_energy::INT)::BIGINT AS n_energy, {r(6, 'sum(y) AS y', 'sum(w) AS w', 'sum(x1) AS x1')} FROM fe GROUP BY config_id")
+def npy_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Aligned arrays written as .npy files, read back in row ranges and joined by row number."""
+    f = T.events(spark, sf_dir)
+    numbered = _numbered(f)
+    folder = containers.scratch(spark)
+    paths = {c: f"{folder}/{c}.npy" for c in ("features", "y", "w", "config_id", "is_energy")}
+    for c, path in paths.items():
+        npy.save(numbered, path, c, "place")
+    rows = npy.observations(spark, paths["features"], paths["y"], paths["w"], paths["config_id"], paths["is_energy"])
+    frame = frames_of.build(rows, "features", config_id="config_id", is_energy="is_energy", y="y", w="w", intercept=False)
+    sums = frame.groupBy("config_id").agg(F.count(F.lit(1)).alias("n_rows"), F.count_if("is_energy").alias("n_energy"), F.sum("y").alias("y"), F.sum("w").alias("w"), F.sum(F.get("features", F.lit(1))).alias("x1"))
+    return rounded(sums, 6, "y", "w", "x1")
+
+
+@query(f"WITH {T.FE}, p AS (SELECT *, row_number() OVER (ORDER BY row_id) - 1 AS place FROM fe) SELECT (place // 100)::BIGINT AS range, count(*) AS n_rows, {r(6, 'sum(y) AS y')} FROM p WHERE place >= 100 AND place < 700 GROUP BY place // 100")
+def npy_range_read(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Six row ranges of a .npy vector, each read by a task of its own and no other rows."""
+    path = f"{containers.scratch(spark)}/y.npy"
+    npy.save(_numbered(T.events(spark, sf_dir)), path, "y", "place")
+    rows = npy.load(spark, path, [(a, a + 100) for a in range(100, 700, 100)])
+    return rounded(rows.groupBy(F.floor(F.col("row_id") / 100).alias("range")).agg(F.count(F.lit(1)).alias("n_rows"), F.sum("value").alias("y")), 6, "y")
+
+
+def _numbered(frame: DataFrame) -> DataFrame:
+    """Rows with their place in row order: a count within ranges of row ids on top of the ranges before."""
+    cell = frames_of.cell_of(frame, "row_id")
+    parts = frame.withColumn("cell", cell)
+    sizes = parts.groupBy("cell").agg(F.count(F.lit(1)).alias("n"))
+    before = sizes.select("cell", (F.sum("n").over(Window.orderBy("cell")) - F.col("n")).alias("before"))
+    place = F.row_number().over(Window.partitionBy("cell").orderBy("row_id"))
+    return parts.withColumn("own", place).join(F.broadcast(before), "cell").withColumn("place", F.col("before") + F.col("own") - 1)
+
+
+@query("SELECT (i // 30)::BIGINT AS config_id, 30::BIGINT AS n_rows, 1::BIGINT AS n_energy, min(i)::BIGINT AS energy_row, 5::INT AS width, 0.01::DOUBLE AS noise FROM range(1200) AS x(i) GROUP BY i // 30")
+def generated_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The generator's blocks, and the noise that a fit without intercept leaves."""
+    rows = synthetic.observations(spark, 40, 30, 5)
+    f = frames_of.build(rows, "features", config_id="config_id", is_energy="is_energy", y="y", w="w", intercept=False)
+    s = Study(f, features=5)
+    left = evaluate.residuals(f, s.fit()).agg(F.round(F.sqrt(F.avg("r2")), 2).alias("noise"))
+    blocks = f.groupBy("config_id").agg(F.count(F.lit(1)).alias("n_rows"), F.count_if("is_energy").alias("n_energy"), F.min(F.when(F.col("is_energy"), F.col("row_id"))).alias("energy_row"), F.max(F.size("features")).alias("width"))
+    return blocks.crossJoin(F.broadcast(left))
 
 
 # splits and draws
@@ -161,6 +231,55 @@ def residuals_by_row_kind(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(rows.agg(F.count(F.lit(1)).alias("n_rows"), F.avg("prediction").alias("mean_prediction"), F.avg("r2").alias("mean_r2")), 6, "mean_prediction", "mean_r2")
 
 
+@query(f"WITH {T.FE}, {T.normal2('fe')} SELECT {r(12, 'i00', 'i01', 'i11')} FROM m")
+def normal_inverse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The inverse of the normal matrix, from the triangle."""
+    inverse = tsqr(T.events(spark, sf_dir), 2).inverse()
+    return rounded(row(spark, ["i00", "i01", "i11"], inverse[np.triu_indices(2)]), 12, "i00", "i01", "i11")
+
+
+@query(f"WITH {T.FL} SELECT {', '.join(f'round(sum(w*w*x{i}*x{j}), 3) + 0.0 AS g_{i}{j}' for i, j in _G3)} FROM fl")
+def tsqr_tree_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """R'R of a triangle that is merged in groups, as where many tasks' triangles are more than the driver may gather."""
+    factor = tsqr(T.lineitem(spark, sf_dir).repartition(40), 3, gather=3 * 3 * 8 * 2)
+    g = factor.r.T @ factor.r
+    return rounded(row(spark, [f"g_{i}{j}" for i, j in _G3], [g[i, j] for i, j in _G3]), 3, *[f"g_{i}{j}" for i, j in _G3])
+
+
+_LEFT = f"{T.FE}, ids AS (SELECT DISTINCT config_id FROM fe), {T.uniform('ids', 0.1, 5, 'gone')}, rest AS (SELECT * FROM fe WHERE config_id NOT IN (SELECT config_id FROM gone)), {T.normal2('rest')}"
+
+
+def _few(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, list]:
+    """The frame, a tenth of its configurations, and their sums (G, v)."""
+    f = T.events(spark, sf_dir)
+    chosen = Sampler(f).choose(0.1, 5)
+    own = greedy.statistics(frames_of.members(f, chosen), 2).collect()
+    return f, chosen, [(np.array(x["g"]).reshape(2, 2), np.array(x["v"])) for x in own]
+
+
+@query(f"WITH {_LEFT} SELECT {r(9, 'i00', 'i01', 'i11')}, {r(6, 'b0', 'b1')} FROM m")
+def woodbury_removal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Inverse and coefficients after configurations go, one low-rank update each."""
+    f, _, sums = _few(spark, sf_dir)
+    factor = tsqr(f, 2)
+    inverse, xty = factor.inverse(), factor.xty
+    for g, v in sums:
+        inverse, _ = woodbury(inverse, xty, x := root(g), np.zeros(len(x)), add=False)
+        xty = xty - v
+    values = [*inverse[np.triu_indices(2)], *(inverse @ xty)]
+    return rounded(rounded(row(spark, ["i00", "i01", "i11", "b0", "b1"], values), 9, "i00", "i01", "i11"), 6, "b0", "b1")
+
+
+@query(f"WITH {T.FE}, {T.normal2('fe')} SELECT {r(6, 'b0', 'b1')} FROM m")
+def qr_append(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Coefficients of all rows, from the triangle of nine tenths and appended rows."""
+    f, chosen, sums = _few(spark, sf_dir)
+    factor = tsqr(frames_of.others(f, chosen), 2)
+    for g, v in sums:
+        factor = Factor(factor.append(x := root(g), np.zeros(len(x))).r, factor.xty + v)
+    return rounded(row(spark, ["b0", "b1"], factor.coefficients()), 6, "b0", "b1")
+
+
 _E3 = "b0 + b1*x1 + b2*x2 - y"
 _E2 = "b0 + b1*x1 - y"
 
@@ -240,6 +359,13 @@ def leverage_weighted_draw(spark: SparkSession, sf_dir: str) -> DataFrame:
     return LeverageSampler(T.events(spark, sf_dir), block=True).choose(SUB, 42)
 
 
+@query(f"WITH {T.FE}, {T.normal2('fe')} SELECT row_id, config_id, round({_H2}, 9) + 0.0 AS h FROM fe, m")
+def leverage_rank_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A feature that is there twice changes no leverage once small singular values are left out."""
+    f = T.events(spark, sf_dir).withColumn("features", F.concat("features", F.slice("features", 2, 1)))
+    return rounded(score.row_leverage(f, tsqr(f, 3, moments=False), rank_filtered=True).select("row_id", "config_id", "h"), 9, "h")
+
+
 # Cook's distance at once
 
 _COOK = f"""{T.normal3("fl")}, hs AS (SELECT row_id, config_id, {_H3} AS h, w*({_E3}) AS e FROM fl, m WHERE is_energy),
@@ -360,8 +486,8 @@ loop AS (
 SELECT step::INT AS step, config_id FROM loop WHERE step > 0"""
 
 
-def _stepwise(spark: SparkSession, sf_dir: str, block: bool, add: bool, initial: float, final: float, start: str = "random") -> DataFrame:
-    s = CooksSampler(T.events(spark, sf_dir), seed=0, block=block, stepwise=True, ascending=add, initial=start, initial_fraction=initial)
+def _stepwise(spark: SparkSession, sf_dir: str, block: bool, add: bool, initial: float, final: float, start: str = "random", **how) -> DataFrame:
+    s = CooksSampler(T.events(spark, sf_dir), seed=0, block=block, stepwise=True, ascending=add, initial=start, initial_fraction=initial, features=2, **how)
     s.choose(final, 5)
     return spark.createDataFrame([(k, i) for k, i, _ in s.state.steps], "step int, config_id long")
 
@@ -386,6 +512,22 @@ def stepwise_desc_block(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _stepwise(spark, sf_dir, True, False, 0.5, 0.4)
 
 
+@query(_stepwise_sql(True, True, 0.1, 0.2))
+def stepwise_asc_block_woodbury(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same steps where the inverse is updated instead of the triangle."""
+    return _stepwise(spark, sf_dir, True, True, 0.1, 0.2, update_method="woodbury")
+
+
+@query(_stepwise_sql(False, True, 0.1, 0.2))
+def stepwise_asc_energy_qr(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _stepwise(spark, sf_dir, False, True, 0.1, 0.2, update_method="qr")
+
+
+@query(_stepwise_sql(True, False, 0.5, 0.4))
+def stepwise_desc_block_svd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _stepwise(spark, sf_dir, True, False, 0.5, 0.4, factorization="svd")
+
+
 _LEVERAGE_START = f"ids AS (SELECT DISTINCT config_id FROM fe), {_BLOCK.replace('scores AS', 'lev AS')}, {T.race('lev', 'round_even(n * 0.1, 0)', 5, 's0')}"
 
 

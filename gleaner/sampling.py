@@ -16,10 +16,15 @@ Selector = Callable[[DataFrame, int, int], DataFrame]
 
 
 class Study:
-    """A frame split by configuration; fits and errors of the whole training part."""
+    """A frame split by configuration; fits and errors of the whole training part.
 
-    def __init__(self, frame: DataFrame, test_fraction: float = 0.0, seed: int = 0, test_ids: DataFrame | None = None):
-        self.frame, self.seed = frame, seed
+    The frame is computed once and kept in the cache (memory, then disk) until ``release``, as every step reads it;
+    ``keep=False`` leaves that to the caller. ``features`` is the number of features, intercept included; counted if not given.
+    """
+
+    def __init__(self, frame: DataFrame, test_fraction: float = 0.0, seed: int = 0, test_ids: DataFrame | None = None, keep: bool = True, features: int | None = None):
+        self.frame, self.seed = frame.persist() if keep else frame, seed
+        self._kept, self._width = keep, features
         self.coefficients: np.ndarray | None = None
         self._factor: Factor | None = None
         self.split(test_fraction, seed, test_ids)
@@ -40,14 +45,25 @@ class Study:
         self._factor = None
         return self
 
+    @property
+    def p(self) -> int:
+        if self._width is None:
+            self._width = width(self.frame)
+        return self._width
+
+    def release(self) -> None:
+        """Give the cached frame back."""
+        if self._kept:
+            self.frame.unpersist()
+
     def factor(self) -> Factor:
         """R and X'y of the training rows, computed once per split."""
         if self._factor is None:
-            self._factor = tsqr(self.train, width(self.frame))
+            self._factor = tsqr(self.train, self.p)
         return self._factor
 
     def fit(self, method: str = "auto") -> np.ndarray:
-        self.coefficients = solve(self.train, width(self.frame), method)
+        self.coefficients = solve(self.train, self.p, method)
         return self.coefficients
 
     def errors(self) -> DataFrame:
@@ -59,11 +75,11 @@ class Study:
 class Sampler(Study):
     """Uniform choice of training configurations, or by a selector (train frame, k, seed) -> config ids."""
 
-    def __init__(self, frame: DataFrame, test_fraction: float = 0.0, seed: int = 0, test_ids: DataFrame | None = None, selector: Selector | None = None):
+    def __init__(self, *args, selector: Selector | None = None, **kwargs):
         self.selector = selector
         self.chosen: DataFrame | None = None
         self.sub_coefficients: np.ndarray | None = None
-        super().__init__(frame, test_fraction, seed, test_ids)
+        super().__init__(*args, **kwargs)
 
     def select(self, k: int, seed: int) -> DataFrame:
         if self.selector is not None:
@@ -91,7 +107,7 @@ class Sampler(Study):
         return members(self.train, self.chosen)
 
     def fit_chosen(self, method: str = "auto") -> np.ndarray:
-        self.sub_coefficients = solve(self.chosen_rows(), width(self.frame), method)
+        self.sub_coefficients = solve(self.chosen_rows(), self.p, method)
         return self.sub_coefficients
 
     def chosen_errors(self) -> DataFrame:
@@ -126,8 +142,7 @@ class LeverageSampler(Sampler):
         super().__init__(*args, **kwargs)
 
     def scores(self) -> DataFrame:
-        factor = self._factor or tsqr(self.train, width(self.frame), moments=False)
-        return score.config_leverage(self.train, self.block, factor, self.svd)
+        return score.config_leverage(self.train, self.block, self.factor(), self.svd)
 
     def select(self, k: int, seed: int) -> DataFrame:
         return score.weighted_draw(self.scores(), k, seed)
@@ -164,9 +179,18 @@ class CooksSampler(Sampler):
         super().__init__(*args, **kwargs)
 
     def split(self, *args, **kwargs) -> "Study":
-        self._found = None
+        self._let_go()
         return super().split(*args, **kwargs)
 
+    def _let_go(self) -> None:
+        if self._found is not None:
+            self._found.release()
+        self._found = None
+
+    def release(self) -> None:
+        self._let_go()
+        super().release()
+
     def scores(self) -> DataFrame:
         return score.cooks_onestep(self.train, self.factor(), self.svd)
 
@@ -175,7 +199,7 @@ class CooksSampler(Sampler):
         if self.initial == "random":
             ids = score.uniform_draw(self.train_ids, k, seed)
         else:
-            ids = score.weighted_draw(score.config_leverage(self.train, self.block), k, seed)
+            ids = score.weighted_draw(score.config_leverage(self.train, self.block, self.factor()), k, seed)
         return {r["config_id"] for r in ids.collect()}
 
     def select(self, k: int, seed: int) -> DataFrame:
@@ -183,9 +207,9 @@ class CooksSampler(Sampler):
             scores = score.one_a_config(self.scores())
             return score.weighted_draw(scores, k, seed) if self.sampling else score.top(scores, k)
         if self._found is None:
-            self._found = greedy.candidates(self.train, width(self.frame))
+            self._found = greedy.candidates(self.train, self.p)
         before = {r["config_id"] for r in self.chosen.collect()} if self.chosen is not None else self.start(seed)
-        self.state = greedy.stepwise(self.train, k, before, self.block, self.ascending, self.strict, self._found)
+        self.state = greedy.stepwise(self.train, k, before, self.block, self.ascending, self.strict, self._found, self.update, self.svd)
         return self.frame.sparkSession.createDataFrame([(i,) for i in sorted(self.state.chosen)], "config_id long")
 
 

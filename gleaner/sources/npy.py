@@ -103,6 +103,47 @@ class NpyReader(DataSourceReader):
                 yield pa.RecordBatch.from_arrays([ids, values], ["row_id", "values"])
 
 
+def save(frame: DataFrame, path: str, column: str, row_id: str = "row_id") -> Header:
+    """Write a column as an array file: row i of the array is the row with number i; numbers run from 0 without gaps.
+
+    Arrays become a matrix, numbers a vector. The file is laid out first; then each task writes its rows where they belong, so a
+    task that runs again writes the same bytes. Paths are those of a file system that driver and executors share.
+    """
+    if not path.endswith(".npy"):
+        raise ValueError(f"not a .npy file: {path}")
+    n, last, low, wide = frame.agg(F.count(F.lit(1)), F.max(row_id), F.count_distinct(row_id), F.max(F.size(column)) if frame.schema[column].dataType.typeName() == "array" else F.lit(0)).first()
+    if n and (last != n - 1 or low != n):
+        raise ValueError(f"rows are not numbered from 0 to {n - 1}")
+    vector = frame.schema[column].dataType.typeName() != "array"
+    element = frame.schema[column].dataType.simpleString().removeprefix("array<").removesuffix(">")
+    kind = np.dtype({"bigint": "<i8", "int": "<i8", "boolean": "|b1", "float": "<f4", "double": "<f8"}[element])
+    local, shape = path.removeprefix("file://"), (n,) if vector else (n, wide)
+    with open(local, "wb") as f:
+        np.lib.format.write_array_header_1_0(f, {"descr": kind.str, "fortran_order": False, "shape": shape})
+        offset = f.tell()
+        f.truncate(offset + int(np.prod(shape, dtype=np.int64)) * kind.itemsize)
+    row = (1 if vector else wide) * kind.itemsize
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        with open(local, "r+b") as f:
+            for b in batches:
+                at = b.column("i").to_numpy()
+                values = b.column("v") if vector else b.column("v").flatten()
+                data = np.ascontiguousarray(values.to_numpy(zero_copy_only=False), kind).reshape(len(at), -1)
+                cuts = np.r_[0, np.flatnonzero(np.diff(at) != 1) + 1, len(at)]
+                for s, e in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+                    if s < e:
+                        f.seek(offset + int(at[s]) * row)
+                        f.write(data[s:e].tobytes())
+                yield pa.RecordBatch.from_pydict({"n": [len(at)]}, pa.schema([("n", pa.int64())]))
+
+    rows = frame.select(F.col(row_id).cast("long").alias("i"), F.col(column).alias("v"))
+    written = rows.sortWithinPartitions("i").mapInArrow(write, "n long").agg(F.sum("n")).first()[0] or 0
+    if written != n:
+        raise ValueError(f"{written} rows written of {n}")
+    return Header(shape, kind.str, False, offset)
+
+
 def load(spark: SparkSession, path: str, ranges: list[tuple[int, int]] | None = None) -> DataFrame:
     """An array as a table; ``ranges`` fixes the row ranges of the partitions."""
     spark.dataSource.register(NpySource)

@@ -76,10 +76,22 @@ def test_balanced_ranges(spark):
         O.range_ends(counts, 5)
 
 
+@pytest.mark.parametrize("sizes, parts", [([1, 1, 98], 3), ([1, 1, 98], 2), ([98, 1, 1], 3), ([10, 5, 20, 3, 12], 2), ([1] * 9 + [500] + [1] * 5, 7), ([4] * 6, 6), ([50, 1, 1, 50, 1], 4)])
+def test_range_ends_equal_balanced_ranges(spark, sizes, parts):
+    counts = spark.createDataFrame([(7 * i, n) for i, n in enumerate(sizes)], "config_id long, n_rows long")
+    got = sorted(map(tuple, O.range_ends(counts, parts).collect()))
+    want = [(i, b) for i, (_, b) in enumerate(O.balanced_ranges(sizes, parts), 1)][:-1]
+    ends = np.cumsum(sizes).tolist()
+    assert got == [(i, b, 7 * ends.index(b)) for i, b in want]
+
+
 def test_split_check(spark):
     f = frame(spark, *arrays(10, 4, 2)).withColumn("part", F.col("row_id") % 2)
     assert O.split_configs(f, F.col("part")).count() == 10
     assert O.split_configs(f, F.col("config_id") % 3).count() == 0
+    O.check_respected(f, F.col("config_id") % 3)
+    with pytest.raises(ValueError):
+        O.check_respected(f, F.col("part"))
 
 
 def test_npy_source(spark, tmp_path):
@@ -104,6 +116,19 @@ def test_npy_source(spark, tmp_path):
     assert containers.rows(spark, x).count() == containers.rows(spark, paths["x"]).count() == 50
 
 
+def test_npy_sink(spark, tmp_path):
+    rng = np.random.default_rng(1)
+    x = rng.standard_normal((101, 3))
+    table = spark.createDataFrame([(i, x[i].tolist(), float(x[i, 0]), i % 7, i % 2 == 0) for i in rng.permutation(101).tolist()], "row_id long, x array<double>, y double, c long, e boolean").repartition(5)
+    for name, want in {"x": x, "y": x[:, 0], "c": np.arange(101) % 7, "e": np.arange(101) % 2 == 0}.items():
+        npy.save(table, str(tmp_path / f"{name}.npy"), name)
+        assert np.array_equal(np.load(tmp_path / f"{name}.npy"), want)
+    with pytest.raises(ValueError):
+        npy.save(table.where("row_id <> 5"), str(tmp_path / "gap.npy"), "y")
+    npy.save(table.limit(0), str(tmp_path / "none.npy"), "y")
+    assert np.load(tmp_path / "none.npy").shape == (0,) and npy.load(spark, str(tmp_path / "none.npy")).count() == 0
+
+
 def test_generator(spark):
     t = synthetic.observations(spark, 20, 5, 3)
     assert t.count() == 100 and t.where("is_energy").count() == 20

@@ -137,3 +137,29 @@ def test_descending_curve_goes_downwards(spark):
     s = CooksSampler(frame(spark, *arrays(20, 4, 3)), stepwise=True, ascending=False, initial_fraction=0.8)
     s.curve([0.4, 0.6], 1, 3)
     assert len(s.state.chosen) == 8
+
+
+@pytest.mark.parametrize("add", [True, False])
+def test_updates_agree(spark, add):
+    """Every way of updating, on the driver and on the executors, takes the same steps; svd also where a feature is there twice."""
+    x, y, w, c, e = arrays(24, 3, 3, seed=8)
+    f = frame(spark, x, y, w, c, e)
+    k, start = (12, set(range(6))) if add else (10, set(range(18)))
+    want = None
+    for limit in (greedy.DRIVER, 0):
+        found = greedy.candidates(f, 3, limit)
+        for method, svd in [("woodbury", False), ("auto", False), ("auto", True)] + ([("qr", False)] if add else []):
+            steps = greedy.stepwise(f, k, start, True, add, True, found, method, svd).steps
+            want = want or steps
+            assert [i for _, i, _ in steps] == [i for _, i, _ in want] and np.allclose([s for *_, s in steps], [s for *_, s in want])
+        found.release()
+    twice = frame(spark, np.column_stack([x, x[:, 1]]), y, w, c, e)
+    steps = greedy.stepwise(twice, k, start, True, add, True, None, "auto", True).steps
+    assert [i for _, i, _ in steps] == [i for _, i, _ in want]
+
+
+def test_spread_candidates_send_changes_only(spark, monkeypatch):
+    monkeypatch.setattr(greedy, "REFRESH", 3)
+    f = frame(spark, *arrays(20, 3, 3, seed=9))
+    a = greedy.stepwise(f, 14, set(range(5)), True, True, True, greedy.candidates(f, 3)).steps
+    assert [i for _, i, _ in greedy.stepwise(f, 14, set(range(5)), True, True, True, greedy.candidates(f, 3, 0)).steps] == [i for _, i, _ in a]

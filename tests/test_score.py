@@ -90,3 +90,16 @@ def test_leverage_sampler(spark):
     assert a.count() == 18 and {r[0] for r in a.collect()} == {r[0] for r in b.collect()}
     with pytest.raises(ValueError):
         LeverageSampler(f, factorization="lu")
+
+
+def test_smallest_with_ties(spark, monkeypatch):
+    """Equal keys by the thousand are settled by id, not by one sort of them all."""
+    from gleaner.functions import draws
+
+    monkeypatch.setattr(draws, "SORTABLE", 50)
+    keys = [float("inf") if i % 3 else float(i % 5) for i in range(3000)]
+    rows = spark.createDataFrame([((i * 7919) % 3000, k) for i, k in enumerate(keys)], "config_id long, u double").repartition(4)
+    every = sorted(((k, (i * 7919) % 3000) for i, k in enumerate(keys)))
+    for k in (1, 190, 700, 1500, 2999):
+        got = {r["config_id"] for r in draws.smallest(rows, "u", k).collect()}
+        assert got == {i for _, i in every[:k]}
