@@ -1,8 +1,17 @@
+from collections import Counter
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import functions as F
+
 import __spark_entry__ as entry
 import corpus_pipeline
 from gleaner.llm import exact, mixing, simhash, toxicity
 from gleaner.llm import queries as llm
 
+from . import plain
+from .test_tokens_and_packing import check_packing
+
 
 def test_registered():
     names = entry.queries()
@@ -35,5 +44,59 @@ def test_stages_take_effect(spark, sf):
     assert packed.where("piece = 0").count() == sum(want.values())
 
 
-def test_run(spark, sf):
-    assert corpus_pipeline.run(spark, sf).count() > 0
+def corpus(path, n=160, seed=3):
+    """Toxic documents, exact copies up to white space, near copies, odd texts; several sources, one of a third."""
+    rng = np.random.default_rng(seed)
+    words = ["".join(rng.choice(list("aeiourstlnd"), int(rng.integers(2, 8)))) for _ in range(400)]
+    rows, labels = [], []
+    for i in range(n):
+        own = list(rng.choice(words, int(rng.integers(20, 160))))
+        if toxic := i % 7 == 0:
+            own[5:5] = ["zorg" + "".join(rng.choice(list("xyz"), 2)) for _ in range(6)]
+        rows.append((i, " ".join(own), "en", f"s{min(i % 6, 3)}", len(" ".join(own))))
+        labels.append((i, 1, int(toxic)))
+    for k in range(25):
+        i, text = n + 2 * k, rows[k + 8][1]
+        rows.append((i, text.replace(" ", "\n", 3) + " " * (k % 3), "en", "copies", 1))
+        rows.append((i + 1, text.upper() if k % 2 else text + ".", "en", None, 1))
+    rows += [(900, None, "en", "s1", 0), (901, "", None, "s1", 0), (902, " \n", "en", None, 2), (903, "long text again " * 4000, "en", "s2", 1)]
+    pd.DataFrame(rows, columns=["doc_id", "text", "lang", "source", "n_chars"]).to_parquet(path / "documents.parquet")
+    pd.DataFrame(labels, columns=["doc_id", "quality", "toxic"]).to_parquet(path / "labels.parquet")
+    return rows
+
+
+def test_run_equals_plain_stages(spark, tmp_path):
+    """run()'s rows against plain versions of the five stages."""
+    rows = corpus(tmp_path)
+    docs, labels = (spark.read.parquet(str(tmp_path / f"{t}.parquet")) for t in ("documents", "labels"))
+    model = toxicity.fit(docs, labels)
+    clean = [(r[0], r[1]) for r in rows if len((r[1] or "").split()) > 3000 or plain.toxic_score(model, r[1]) < toxicity.BAR]
+    gone = {r[0] for r in rows} - {i for i, _ in clean}
+    toxic = {i for i in range(160) if i % 7 == 0}
+    assert len(gone & toxic) >= 0.9 * len(toxic) and len(gone - toxic) <= 8  # copies of toxic ones among them
+    once, apart = plain.survivors(clean)
+    assert len(clean) - len(once) >= 15 and len(once) - len(apart) >= 5
+    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    times = Counter(r["doc_id"] for r in got if r["piece"] == 0)
+    assert set(times) <= apart and max(times.values()) <= 3
+    left = [r for r in rows if r[0] in apart]
+    want = plain.targets([(r[3], r[1]) for r in left])
+    for s, target in want.items():
+        own = [r for r in left if r[3] == s]
+        taken = sum(times[r[0]] * len((r[1] or "").split()) for r in own)
+        least = min((len(r[1].split()) for r in own if (r[1] or "").split()), default=0)
+        assert abs(taken - target) <= max(least, 0.02 * target + 1) or s == "s2", s  # s2 has one very long text
+    text = {r[0]: r[1] for r in rows}
+    check_packing([(i, text[i]) for i in times.elements()], got)
+
+
+def test_odd_tables(spark, tmp_path):
+    """No rows; null ids, texts and sources; repeated rows; further columns."""
+    kind = "doc_id long, text string, lang string, source string, n_chars long"
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    spark.createDataFrame([], kind).write.parquet(str(tmp_path / "documents.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+    rows = [(None, "a text without an id", "en", "s", 1), (1, "same words here", "en", "s", 1), (1, "same words here", "en", "s", 1), (2, None, None, None, None), (3, "", "en", "t", 0), (None, None, None, "t", 0)]
+    spark.createDataFrame(rows, kind).withColumn("Text2", F.lit("x")).write.mode("overwrite").parquet(str(tmp_path / "documents.parquet"))
+    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert {r["doc_id"] for r in got} <= {None, 1, 2, 3} and sum(r["piece"] == 0 for r in got) >= 1
