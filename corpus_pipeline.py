@@ -44,9 +44,12 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES[:-1]:
         docs = common.keep(stage(spark, docs, sf_dir), name)
+        if before is not None:  # what a stage has read goes once its result is written
+            common.discard(before)
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)
 
 
