@@ -83,11 +83,13 @@ def best_fit(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int
     return plan
 
 
-def _cut(path: str, end: int, capacity: int):
+def _cut(path: str, end: int, capacity: int, with_ids: bool):
+    names = ["doc_id", "piece", "start", "length", "ids_crc32"] + ["ids"] * with_ids
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = encoder(path)
         for b in batches:
-            of, start, length, crc = [], [], [], []
+            of, start, length, crc, every = [], [], [], [], []
             for i, text in enumerate(b.column("text").to_pylist()):
                 ids = np.append(coder.ids(text).astype("<u4"), np.uint32(end))
                 for k in range(0, len(ids), capacity):
@@ -96,9 +98,11 @@ def _cut(path: str, end: int, capacity: int):
                     start.append(k)
                     length.append(len(part))
                     crc.append(zlib.crc32(part.tobytes()))
+                    if with_ids:
+                        every.append(part.tobytes())
             start = np.array(start, np.int64)
             columns = [b.column("doc_id").take(pa.array(of, pa.int64())), pa.array((start // capacity).astype(np.int32)), pa.array(start), pa.array(length, pa.int64()), pa.array(crc, pa.int64())]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "piece", "start", "length", "ids_crc32"])
+            yield pa.RecordBatch.from_arrays(columns + [pa.array(every, pa.binary())] * with_ids, names)
 
     return run
 
@@ -112,18 +116,20 @@ def _slots(plan: np.ndarray):
             length, rank = b.column("length").to_numpy(), b.column("rank").to_numpy()
             own = plan[np.searchsorted(keys, (length << 48) | rank, side="right") - 1]
             past = rank - own[:, 1]
-            names = ["doc_id", "piece", "start", "length", "ids_crc32"]
+            names = [c for c in b.schema.names if c != "rank"]
             place = [pa.array(own[:, 2] + past // own[:, 4]), pa.array(own[:, 5] + past % own[:, 4] * length)]
             yield pa.RecordBatch.from_arrays([*map(b.column, names), *place], [*names, "sequence_id", "offset"])
 
     return run
 
 
-def pack(docs: DataFrame, tokenizer: str, end: int = END, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
+def pack(docs: DataFrame, tokenizer: str, end: int = END, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
+    """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset; ``with_ids`` adds ids (u32 each)."""
     rows = pick(docs, doc_id=id_col, text=text_col)
     kind = rows.schema["doc_id"].dataType.simpleString()
-    rows = rows.mapInArrow(_cut(tokenizer, end, capacity), f"doc_id {kind}, piece int, start long, length long, ids_crc32 long")
+    schema = f"doc_id {kind}, piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids
+    names = ["doc_id", "piece", "start", "length", "ids_crc32"] + ["ids"] * with_ids
+    rows = rows.mapInArrow(_cut(tokenizer, end, capacity, with_ids), schema)
     rows = keep(rows.withColumn("h", F.xxhash64("doc_id", "piece", "ids_crc32")), "pieces")
     # at most CAPACITY rows reach the driver, and are broadcast
     counts = {r["length"]: r["n"] for r in rows.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -135,5 +141,14 @@ def pack(docs: DataFrame, tokenizer: str, end: int = END, capacity: int = CAPACI
     cells = cells.select("length", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
     within = Window.partitionBy("length", "bucket").orderBy("doc_id", "piece", "ids_crc32")
     ranked = rows.withColumn("own", F.row_number().over(within)).join(cells, ["length", "bucket"])
-    ranked = ranked.select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("before") + F.col("own") - 1).alias("rank"))
-    return ranked.mapInArrow(_slots(plan), f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    ranked = ranked.select(*names, (F.col("before") + F.col("own") - 1).alias("rank"))
+    return ranked.mapInArrow(_slots(plan), f"{schema}, sequence_id long, offset long")
+
+
+def sequences(docs: DataFrame, tokenizer: str, end: int = END, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The packed sequences: sequence_id, doc_ids in order, ids (u32 each, at most ``capacity``)."""
+    pieces = pack(docs, tokenizer, end, capacity, id_col, text_col, with_ids=True)
+    # at most ``capacity`` pieces meet
+    parts = pieces.groupBy("sequence_id").agg(F.array_sort(F.collect_list(F.struct("offset", "doc_id", "ids"))).alias("parts"))
+    ids = F.aggregate("parts", F.lit(b""), lambda all_, p: F.concat(all_, p["ids"]))
+    return parts.select("sequence_id", F.transform("parts", lambda p: p["doc_id"]).alias("doc_ids"), ids.alias("ids"))

@@ -127,6 +127,17 @@ class Model:
             return len(words), scores, []
         return len(words), scores, [damped(words, scores, *found) for found in placed(scores)]
 
+    def passages(self, text: str | None) -> list[tuple[int, int, float]]:
+        """(first, end, value) of each significant segment, in code points of the lower-cased text."""
+        if self.constant is not None:
+            return []
+        found = list(_WORDS.finditer((text or "").lower()))
+        words = [f.group() for f in found]
+        scores = [self.weight(w) for w in words]
+        least = self.log_k + math.log(max(len(words), 1) / EXPECTED)
+        values = [(i, j, self.rate * damped(words, scores, i, j, s) - least) for i, j, s in placed(scores)]
+        return [(found[i].start(), found[j - 1].end(), v) for i, j, v in values if v > 0]
+
     def evidence(self, m: int, found: list[float]) -> float:
         least = self.log_k + math.log(max(m, 1) / EXPECTED)
         return math.log1p(sum(max(0.0, self.rate * s - least) for s in found))
@@ -279,6 +290,20 @@ def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     return rows.withColumn("predicted", (F.col("score") >= BAR).cast("int"))
 
 
+def passages(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> DataFrame:
+    """One row per input row: doc_id, passages: start, end and value of every significant toxic passage.
+
+    Places count code points of the lower-cased text; a document's evidence is the logarithm of one and the values' sum.
+    """
+    model = fit(docs, labels, id_col, text_col, label_col)
+
+    @F.pandas_udf("array<struct<start: int, end: int, value: double>>")
+    def found(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: [{"start": i, "end": j, "value": v} for i, j, v in model.passages(t)], na_action=None)
+
+    return pick(docs, doc_id=id_col, text=text_col).select("doc_id", found("text").alias("passages"))
+
+
 def drop_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents that score below the bar, with all their columns."""
     model = fit(docs, labels, id_col, text_col)

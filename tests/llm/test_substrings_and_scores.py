@@ -134,6 +134,20 @@ def test_all_passages_count():
     assert np.isclose(often, once * np.sqrt(60))
 
 
+def test_passages_and_scores_agree(spark):
+    rows, labels = corpus(200)
+    rows += [(900, None), (901, "")]
+    table = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    model = toxicity.fit(docs(spark, rows), table)
+    text = dict(rows)
+    got = {r["doc_id"]: r["passages"] for r in toxicity.passages(docs(spark, rows), table).collect()}
+    assert got[900] == got[901] == [] and sum(map(bool, got.values())) >= 30
+    a, b = model.curve
+    for i, found in got.items():
+        assert np.isclose(1 / (1 + np.exp(-(a + b * np.log1p(sum(p["value"] for p in found))))), model.score(text[i]))
+        assert all("zorg" in text[i].lower()[p["start"] : p["end"]] for p in found if i % 5 == 0 and p["value"] > 5)
+
+
 def test_odds_are_those_of_occurrences(spark):
     line = "all the same words are in both kinds of text here"
     rows = [(i, " ".join([line, *["vex"] * (8 if i % 2 else 1)])) for i in range(80)]

@@ -144,6 +144,19 @@ def test_packing(spark, monkeypatch, size):
     assert packing.pack(docs(spark, []), WORDS).count() == 0
 
 
+def test_packed_sequences(spark):
+    """The sequences themselves hold every document's ids, in whole pieces."""
+    rows, e = some(60), Encoder(WORDS)
+    got = packing.sequences(docs(spark, rows), WORDS).collect()
+    pieces = packing.pack(docs(spark, rows), WORDS).collect()
+    text = {r["sequence_id"]: np.frombuffer(r["ids"], "<u4") for r in got}
+    assert len(text) == len({r["sequence_id"] for r in pieces}) and all(len(x) <= 4096 for x in text.values())
+    assert sum(map(len, text.values())) == sum(len(e.ids(t)) + 1 for _, t, _ in rows) == sum(r["length"] for r in pieces)
+    assert sum(len(r["doc_ids"]) for r in got) == len(pieces)
+    crcs = sorted(zlib.crc32(text[r["sequence_id"]][r["offset"] : r["offset"] + r["length"]].tobytes()) for r in pieces)
+    assert crcs == sorted(r["ids_crc32"] for r in pieces)
+
+
 def test_order_of_runs(spark, monkeypatch):
     up, down = spark.range(0, 1000, 1, 7).toDF("doc_id"), spark.range(1000, 0, -1, 7).toDF("doc_id")
     for look in (1 << 16, 0):  # by the driver, and within ranges of ids
