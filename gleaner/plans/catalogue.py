@@ -172,14 +172,14 @@ SELECT 'train' AS part, count(DISTINCT config_id) AS n_configs, count(*) AS n_ro
 UNION ALL SELECT 'test', count(DISTINCT config_id), count(*), sum(is_energy::INT)::BIGINT FROM test"""
 )
 def group_split_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = Study(T.events(spark, sf_dir), TEST, SEED)
+    s = Study(T.events(spark, sf_dir), TEST, SEED, features=2)
     both = s.train.withColumn("part", F.lit("train")).unionByName(s.test.withColumn("part", F.lit("test")))
     return both.groupBy("part").agg(F.count_distinct("config_id").alias("n_configs"), F.count(F.lit(1)).alias("n_rows"), F.count_if("is_energy").alias("n_energy"))
 
 
 @query(f"WITH {T.FE}, {T.split('fe', TEST, SEED)}, {T.uniform('train_ids', SUB, 42)} SELECT config_id FROM chosen")
 def random_subsample_configs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return Sampler(T.events(spark, sf_dir), TEST, SEED).choose(SUB, 42)
+    return Sampler(T.events(spark, sf_dir), TEST, SEED, features=2).choose(SUB, 42)
 
 
 @query(
@@ -187,7 +187,7 @@ def random_subsample_configs(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT 0.05::DOUBLE AS fraction, config_id FROM a UNION ALL SELECT 0.1, config_id FROM b UNION ALL SELECT 0.4, config_id FROM c"""
 )
 def nested_random_subsamples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = Sampler(T.lineitem(spark, sf_dir))
+    s = Sampler(T.lineitem(spark, sf_dir), features=3)
     parts = [s.choose(f, 7).select(F.lit(f).alias("fraction"), "config_id") for f in (0.05, 0.1, 0.4)]
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
@@ -205,19 +205,19 @@ def gram_moments(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {T.FL}, {T.normal3('fl')} SELECT {r(6, 'b0', 'b1', 'b2')} FROM m")
 def wls_full_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    beta = Study(T.lineitem(spark, sf_dir)).fit()
+    beta = Study(T.lineitem(spark, sf_dir), features=3).fit()
     return rounded(row(spark, ["b0", "b1", "b2"], beta), 6, "b0", "b1", "b2")
 
 
 @query(f"WITH {T.FL}, g AS (SELECT * REPLACE (1.0::DOUBLE AS w) FROM fl), {T.normal3('g')} SELECT {r(6, 'b0', 'b1', 'b2')} FROM m")
 def wls_unweighted_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    beta = Study(T.lineitem(spark, sf_dir).withColumn("w", F.lit(1.0))).fit("qr")
+    beta = Study(T.lineitem(spark, sf_dir).withColumn("w", F.lit(1.0)), features=3).fit("qr")
     return rounded(row(spark, ["b0", "b1", "b2"], beta), 6, "b0", "b1", "b2")
 
 
 @query(f"WITH {T.FO}, {T.normal2('fo')} SELECT {r(5, 'b0', 'b1')} FROM m")
 def wls_orders_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    beta = Study(T.orders(spark, sf_dir)).fit()
+    beta = Study(T.orders(spark, sf_dir), features=2).fit()
     return rounded(row(spark, ["b0", "b1"], beta), 5, "b0", "b1")
 
 
@@ -297,7 +297,7 @@ p AS (SELECT 'train' AS part, is_energy, pow({_E3}, 2) AS r2 FROM train, m UNION
 SELECT {_4WAY} FROM p"""
 )
 def rmse_4way(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = Study(T.lineitem(spark, sf_dir), TEST, SEED)
+    s = Study(T.lineitem(spark, sf_dir), TEST, SEED, features=3)
     s.fit()
     return rounded(s.errors(), 6, "e_train", "f_train", "e_test", "f_test")
 
@@ -316,7 +316,7 @@ SELECT {cells} FROM p"""
 
 @query(f"WITH {T.FL}, {T.split('fl', TEST, SEED)}, " + _6way("fl", T.normal3("sub_rows"), _E3, T.uniform("train_ids", SUB, 42)))
 def rmse_6way_random(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = Sampler(T.lineitem(spark, sf_dir), TEST, SEED)
+    s = Sampler(T.lineitem(spark, sf_dir), TEST, SEED, features=3)
     s.choose(SUB, 42)
     s.fit_chosen()
     return rounded(s.chosen_errors(), 6, *evaluate.METRICS)
@@ -356,7 +356,7 @@ def leverage_probabilities(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {T.FE}, {_BLOCK}, {T.race('scores', f'round_even(n * {SUB}, 0)', 42)} SELECT config_id FROM chosen")
 def leverage_weighted_draw(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return LeverageSampler(T.events(spark, sf_dir), block=True).choose(SUB, 42)
+    return LeverageSampler(T.events(spark, sf_dir), block=True, features=2).choose(SUB, 42)
 
 
 @query(f"WITH {T.FE}, {T.normal2('fe')} SELECT row_id, config_id, round({_H2}, 9) + 0.0 AS h FROM fe, m")
@@ -384,12 +384,12 @@ def cooks_onestep_scores_svd(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {T.FL}, {_COOK} SELECT config_id FROM (SELECT config_id, row_number() OVER (ORDER BY score DESC, config_id) AS rk, count(*) OVER () AS n FROM scores) WHERE rk <= round_even(n * 0.1, 0)")
 def cooks_onestep_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return CooksSampler(T.lineitem(spark, sf_dir), sampling=False).choose(0.1, 0)
+    return CooksSampler(T.lineitem(spark, sf_dir), sampling=False, features=3).choose(0.1, 0)
 
 
 @query(f"WITH {T.FL}, {_COOK}, {T.race('scores', 'round_even(n * 0.1, 0)', 42)} SELECT config_id FROM chosen")
 def cooks_onestep_weighted_draw(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return CooksSampler(T.lineitem(spark, sf_dir)).choose(0.1, 42)
+    return CooksSampler(T.lineitem(spark, sf_dir), features=3).choose(0.1, 42)
 
 
 # Cook's distance step by step
@@ -552,13 +552,13 @@ def _curve_sql(choose) -> str:
 
 @query(_curve_sql(lambda f, j: T.uniform("train_ids", f, 42 + j)))
 def learning_curve_random(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = Sampler(T.events(spark, sf_dir), TEST, SEED)
+    s = Sampler(T.events(spark, sf_dir), TEST, SEED, features=2)
     return rounded(s.curve([f for f, _ in CURVE], [n for _, n in CURVE], 42), 6, "rmse")
 
 
 @query(_curve_sql(lambda f, j: f"{T.normal2('train', 't')}, scores AS (SELECT config_id, sum({_H2}) AS score FROM train, t GROUP BY config_id), {T.race('scores', f'round_even(n * {f}, 0)', 42 + j)}"))
 def learning_curve_leverage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = LeverageSampler(T.events(spark, sf_dir), TEST, SEED, block=True)
+    s = LeverageSampler(T.events(spark, sf_dir), TEST, SEED, block=True, features=2)
     return rounded(s.curve([f for f, _ in CURVE], [n for _, n in CURVE], 42), 6, "rmse")
 
 

@@ -25,6 +25,7 @@ class Study:
     def __init__(self, frame: DataFrame, test_fraction: float = 0.0, seed: int = 0, test_ids: DataFrame | None = None, keep: bool = True, features: int | None = None):
         self.frame, self.seed = frame.persist() if keep else frame, seed
         self._kept, self._width = keep, features
+        self._ids: DataFrame | None = None
         self.coefficients: np.ndarray | None = None
         self._factor: Factor | None = None
         self.split(test_fraction, seed, test_ids)
@@ -33,18 +34,28 @@ class Study:
         """floor(n f) configurations are for testing, the same for one seed under any partitioning; given ids win."""
         if not 0 <= test_fraction < 1:
             raise ValueError(f"test fraction must be in [0, 1), not {test_fraction}")
-        ids = config_ids(self.frame)
+        if self._ids is None:
+            self._ids = config_ids(self.frame).persist() if self._kept else config_ids(self.frame)
+        self._n_train = None
         if test_ids is not None:
             self.test_ids = test_ids.select("config_id").distinct()
         else:
-            n = ids.count()
+            n = self._ids.count()
             # drawn once: every later plan only joins the ids
-            self.test_ids = score.uniform_draw(ids, int(n * test_fraction), seed, score.SPLIT, n).cache()
+            self.test_ids = score.uniform_draw(self._ids, int(n * test_fraction), seed, score.SPLIT, n).cache()
+            self._n_train = n - int(n * test_fraction)
         self.train, self.test = others(self.frame, self.test_ids), members(self.frame, self.test_ids)
-        self.train_ids = config_ids(self.train)
+        self.train_ids = others(self._ids, self.test_ids)
         self._factor = None
         return self
 
+    @property
+    def n_train(self) -> int:
+        """The number of training configurations."""
+        if self._n_train is None:
+            self._n_train = self.train_ids.count()
+        return self._n_train
+
     @property
     def p(self) -> int:
         if self._width is None:
@@ -55,6 +66,7 @@ class Study:
         """Give the cached frame back."""
         if self._kept:
             self.frame.unpersist()
+            self._ids.unpersist()
 
     def factor(self) -> Factor:
         """R and X'y of the training rows, computed once per split."""
@@ -79,23 +91,43 @@ class Sampler(Study):
         self.selector = selector
         self.chosen: DataFrame | None = None
         self.sub_coefficients: np.ndarray | None = None
+        self._scores: DataFrame | None = None
         super().__init__(*args, **kwargs)
 
     def select(self, k: int, seed: int) -> DataFrame:
         if self.selector is not None:
             return self.selector(self.train, k, seed)
-        return score.uniform_draw(self.train_ids, k, seed)
+        return score.uniform_draw(self.train_ids, k, seed, total=self.n_train)
 
     def choose(self, fraction: float, seed: int | None = None) -> DataFrame:
         """Choose round(n f) training configurations, halves to even; returns their ids."""
         if not 0 < fraction <= 1:
             raise ValueError(f"fraction must be in (0, 1], not {fraction}")
         self.seed = self.seed if seed is None else seed
-        before, self.chosen = self.chosen, self.select(half_even(self.train_ids.count() * fraction), self.seed).cache()
+        before, self.chosen = self.chosen, self.select(half_even(self.n_train * fraction), self.seed).cache()
         if before is not None:
             before.unpersist()
         return self.chosen
 
+    def _scored(self, compute: Callable[[], DataFrame]) -> DataFrame:
+        if self._scores is None:
+            self._scores = compute().persist()
+        return self._scores
+
+    def split(self, *args, **kwargs) -> "Study":
+        self._drop_scores()
+        return super().split(*args, **kwargs)
+
+    def _drop_scores(self) -> None:
+        if self._scores is not None:
+            self._scores.unpersist()
+        self._scores = None
+
+    def release(self) -> None:
+        self.reset()
+        self._drop_scores()
+        super().release()
+
     def reset(self) -> None:
         if self.chosen is not None:
             self.chosen.unpersist()
@@ -142,7 +174,8 @@ class LeverageSampler(Sampler):
         super().__init__(*args, **kwargs)
 
     def scores(self) -> DataFrame:
-        return score.config_leverage(self.train, self.block, self.factor(), self.svd)
+        """(config_id, score), computed once per split."""
+        return self._scored(lambda: score.config_leverage(self.train, self.block, self.factor(), self.svd))
 
     def select(self, k: int, seed: int) -> DataFrame:
         return score.weighted_draw(self.scores(), k, seed)
@@ -192,12 +225,13 @@ class CooksSampler(Sampler):
         super().release()
 
     def scores(self) -> DataFrame:
-        return score.cooks_onestep(self.train, self.factor(), self.svd)
+        """(row_id, config_id, score) of energy rows, computed once per split."""
+        return self._scored(lambda: score.cooks_onestep(self.train, self.factor(), self.svd))
 
     def start(self, seed: int) -> set[int]:
-        k = half_even(self.train_ids.count() * self.initial_fraction)
+        k = half_even(self.n_train * self.initial_fraction)
         if self.initial == "random":
-            ids = score.uniform_draw(self.train_ids, k, seed)
+            ids = score.uniform_draw(self.train_ids, k, seed, total=self.n_train)
         else:
             ids = score.weighted_draw(score.config_leverage(self.train, self.block, self.factor()), k, seed)
         return {r["config_id"] for r in ids.collect()}
