@@ -13,6 +13,22 @@ SPACES = r"[\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+#: Characters or bytes of a text that are cut into words at once.
+PIECE = 4 << 20
+
+
+def pieces(text, space):
+    """A text in pieces of about PIECE characters (or bytes), cut at, and without, a single ``space``."""
+    at, n = 0, len(text)
+    while n - at > PIECE:
+        cut = text.find(space, at + PIECE)
+        if cut < 0:
+            break
+        yield text[at:cut]
+        at = cut + 1
+    yield text[at:] if at else text
+
+
 def pick(df: DataFrame, **columns: str | None) -> DataFrame:
     """Select columns under new names by exact name; other columns, even of clashing names, do no harm.
 

@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import keep, numbered, pick, sieve
+from .common import keep, numbered, pick, pieces, sieve
 from .components import components
 
 BITS = 2
@@ -45,21 +45,23 @@ def fingerprint(text: str | None) -> int:
     """The unsigned 64-bit fingerprint of a text."""
     import xxhash
 
-    # bytes.split() splits at ASCII white space only
-    words = (text or "").encode("utf-8", "surrogatepass").translate(_LOWER).split()
-    if not words:
-        return 0
-    if len(words) < SHINGLE:
-        parts: Iterator[bytes] | list[bytes] = [b" ".join(words)]
-    else:
-        parts = map(b"%b %b %b".__mod__, zip(words, words[1:], words[2:]))
     h = xxhash.xxh64_intdigest
-    n, ones = 0, np.zeros(64, np.int64)
-    hashes = np.fromiter((h(p, 42) for p in parts), np.uint64)
-    for i in range(0, len(hashes), 1 << 16):
-        some = hashes[i : i + (1 << 16)]
-        ones += np.unpackbits(some.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-        n += len(some)
+    n, ones, last = 0, np.zeros(64, np.int64), []
+    data = (text or "").encode("utf-8", "surrogatepass").translate(_LOWER)
+    for piece in pieces(data, b" "):
+        # bytes.split() splits at ASCII white space only; the two words before go on into the next shingles
+        words = last + piece.split()
+        if len(words) < SHINGLE:
+            last = words
+            continue
+        last = words[1 - SHINGLE :]
+        hashes = np.fromiter((h(p, 42) for p in map(b"%b %b %b".__mod__, zip(words, words[1:], words[2:]))), np.uint64, len(words) - 2)
+        for i in range(0, len(hashes), 1 << 16):
+            some = hashes[i : i + (1 << 16)]
+            ones += np.unpackbits(some.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+            n += len(some)
+    if not n:
+        return h(b" ".join(last), 42) if last else 0
     return int(np.packbits(ones * 2 > n, bitorder="little").view(np.uint64)[0])
 
 

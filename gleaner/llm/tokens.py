@@ -17,6 +17,8 @@ from array import array
 
 import numpy as np
 
+from .common import pieces
+
 #: Entries in the young half of each cache; a full one becomes the old half, from which what is met again comes back.
 CACHE = 350_000
 #: Seconds without work after which the caches are emptied.
@@ -121,16 +123,20 @@ class Encoder:
         self.used = time.monotonic()
         if not text:
             return np.empty(0, self.kind)
-        if self.spaced:
-            if _LOOSE_SPACE.search(text):
-                return np.frombuffer(self._slow(text), self.kind)
-            first, *words = text.split(" ")
-            head = self._slow(first) if first else b""
-        elif self.folded:
-            words, head = _BREAKS.split(text), b""
-            words = [w for w in words if w]
-        else:
-            return np.frombuffer(self._slow(text), self.kind)
+        if self.spaced and not _LOOSE_SPACE.search(text):
+            parts = []
+            for piece in pieces(text, " "):
+                words = piece.split(" ")
+                if not parts:  # the first word has no space before it
+                    parts.append(self._slow(words[0]) if words[0] else b"")
+                    del words[0]
+                parts.append(self._words(words))
+            return np.frombuffer(b"".join(parts), self.kind)
+        if self.folded:
+            return np.frombuffer(b"".join(self._words([w for w in _BREAKS.split(piece) if w]) for piece in pieces(text, " ")), self.kind)
+        return np.frombuffer(self._slow(text), self.kind)
+
+    def _words(self, words: list[str]) -> bytes:
         if len(self.words) >= CACHE:
             self.old_words, self.words = self.words, {}
         out = list(map(self.words.get, words))
@@ -142,7 +148,7 @@ class Encoder:
                     if found is None:
                         found = self.words[word] = self.old_words.get(word) or self._word(word)
                     out[i] = found
-        return np.frombuffer(head + b"".join(out), self.kind)
+        return b"".join(out)
 
 
 def _watch(coder: Encoder) -> None:

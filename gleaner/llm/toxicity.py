@@ -33,7 +33,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import keep, numbered, pick, remainder
+from .common import keep, numbered, pick, pieces, remainder
 
 #: Labelled documents read of each class at most, and the seed of their choice.
 SAMPLE, SEED = 5000, 5
@@ -47,6 +47,8 @@ BAR, HELD = 0.7, (3, 1)
 
 _WORDS = re.compile(r"[^\W\d_]+")
 _CACHE = 150_000
+#: Tokens of a piece of a text from which on only the scoring ones are kept in memory.
+LONG = 100_000
 
 
 def tokens(text: str | None) -> list[str]:
@@ -119,10 +121,16 @@ class Model:
 
     def scan(self, text: str | None) -> tuple[int, list[float], list[float]]:
         """Number of tokens, their scores, and the damped scores of the maximal segments."""
-        words = tokens(text)
-        scores = list(map(self.known.get, words))
-        if None in scores:
-            scores = [self.weight(w) for w in words]
+        words: list[str] = []
+        scores: list[float] = []
+        for piece in pieces(text or "", " "):
+            own = tokens(piece)
+            weights = list(map(self.known.get, own))
+            if None in weights:
+                weights = [self.weight(w) for w in own]
+            # only tokens of a positive score are looked at again
+            words += own if len(own) < LONG else [w if s > 0 else "" for w, s in zip(own, weights)]
+            scores += weights
         if not scores or max(scores) <= 0:
             return len(words), scores, []
         return len(words), scores, [damped(words, scores, *found) for found in placed(scores)]

@@ -7,7 +7,7 @@ import pandas as pd
 import pytest
 import xxhash
 
-from gleaner.llm import components, embeddings, exact, simhash
+from gleaner.llm import common, components, embeddings, exact, simhash
 
 SCHEMA = "doc_id long, text string, TEXT2 string, n long"
 
@@ -72,6 +72,15 @@ def test_fingerprints():
         assert simhash.fingerprint(t) == plain_print(t)
 
 
+def test_fingerprints_by_pieces(monkeypatch):
+    text = " ".join(f"Wort{i % 91} \n" if i % 7 else "x" * 40 for i in range(500))
+    for piece in (1 << 22, 1, 5, 64):
+        monkeypatch.setattr(common, "PIECE", piece)
+        assert simhash.fingerprint(text) == plain_print(text)
+        assert simhash.fingerprint("a b") == plain_print("a b") and simhash.fingerprint(" a  b c") == plain_print(" a  b c")
+    assert list(common.pieces("", " ")) == [""]
+
+
 def test_gray_index_finds_every_pair():
     rng = np.random.default_rng(1)
     seeds = rng.integers(0, 1 << 63, 40, np.uint64)
@@ -195,6 +204,49 @@ def test_embedding_recall(spark):
     assert embeddings.near(spark.createDataFrame([], "vec_id long, embedding array<double>, label int")).count() == 0
 
 
+@pytest.mark.parametrize("miss", [0, 1e-3])
+def test_embedding_sql_on_links(spark, miss, tmp_path):
+    """The registered query's SQL, on vectors that do link (the given tables hold no such pair)."""
+    rng = np.random.default_rng(5)
+    base = rng.standard_normal((60, 64))
+    some = np.concatenate([base, *(base + s * rng.standard_normal(base.shape) for s in (0.0, 0.05, 0.1, 0.15, 0.2, 0.3))]).astype(np.float32)
+    table = pd.DataFrame({"vec_id": rng.permutation(len(some)), "embedding": some.tolist(), "label": (np.arange(len(some)) % 60 % 7).astype("int32")})
+    table.to_parquet(tmp_path / "embeddings.parquet")
+    con = duckdb.connect()
+    con.sql(f"create view embeddings as select * from '{tmp_path}/embeddings.parquet'")
+    want = {r[0]: r[1:] for r in con.sql(f"select vec_id, n_links, component_id, kept from ({embeddings.ORACLE})").fetchall()}
+    rows = spark.read.parquet(str(tmp_path / "embeddings.parquet"))
+    got = {r["vec_id"]: (r["n_links"], r["component_id"], r["kept"]) for r in embeddings.near(rows, miss=miss).collect()}
+    assert sum(w[0] for w in want.values()) > 400
+    if not miss:
+        assert got == want
+    assert sum(g[0] for g in got.values()) >= 0.99 * sum(w[0] for w in want.values()) and all(got[i][0] <= want[i][0] for i in want)
+
+
+def test_embedding_ids_and_columns(spark):
+    """Null and repeated ids are rows of their own; other columns, of clashing names too, are ignored."""
+    rows = [(None, [1.0, 2.0], "a", 1, "x"), (7, [2.0, 4.0], "a", 2, "y"), (7, [1.0, 2.0], "a", 3, "z"), (9, [1.0, 2.0], "b", 4, "x"), (None, [5.0, 1.0], "b", 5, "x"), (8, [-1.0, -2.0], "a", 6, "x")]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label string, cid long, Label2 string").toDF("vec_id", "embedding", "label", "cid", "t")
+    got = sorted(((r["vec_id"], r["n_links"], r["component_id"], r["kept"]) for r in embeddings.near(table).collect()), key=repr)
+    assert got == sorted([(None, 2, 7, False), (7, 2, 7, True), (7, 2, 7, True), (9, 0, 9, True), (None, 0, None, True), (8, 0, 8, True)], key=repr)
+
+
+def test_estimates_hold_their_bound():
+    """The mean of the estimates' errors is near zero, and no pair at the threshold is dropped."""
+    rng = np.random.default_rng(6)
+    x = embeddings.unit(rng.standard_normal((400, 48)))
+    y = embeddings.unit(x + 0.02 * rng.standard_normal(x.shape))
+    every = np.concatenate([x, y])
+    own = embeddings.codes(every)
+    near = np.flatnonzero(np.einsum("ij,ij->i", x, y) >= 0.98)
+    i, j = embeddings.estimated(*own, slice(0, 400), slice(400, 800), 0.98)
+    assert len(near) > 300 and set(near.tolist()) <= {a for a, b in zip(i.tolist(), j.tolist()) if b == a + 400}
+    bar = (np.unpackbits(own[0], axis=1, count=48) * 2.0 - 1) / np.sqrt(48)
+    turned = every @ embeddings.rotation(48, embeddings.SEED).T
+    off = (bar[:400] @ turned[:400].T) / own[1][:400, None] - x @ x.T
+    assert abs(off[~np.eye(400, dtype=bool)].mean()) < 0.002
+
+
 def test_exact_sql(spark, sf):
     con = duckdb.connect()
     con.sql(f"create view documents as select * from '{sf}/documents.parquet'")

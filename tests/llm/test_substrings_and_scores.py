@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from gleaner.llm import quality, substrings, toxicity
+from gleaner.llm import common, quality, substrings, toxicity
 
 SCHEMA = "doc_id long, text string, TEXT2 string, n long"
 
@@ -148,6 +148,17 @@ def test_passages_and_scores_agree(spark):
         assert all("zorg" in text[i].lower()[p["start"] : p["end"]] for p in found if i % 5 == 0 and p["value"] > 5)
 
 
+def test_scans_by_pieces(monkeypatch):
+    words = {a + b: 1.5 for a in "bcdf" for b in "aeu"} | {"ba": -1.0}
+    rng = np.random.default_rng(0)
+    text = " ".join(rng.choice([*words, "so", "Be", "fu\nna"], 700))
+    whole = toxicity.Model(dict(words), {}).scan(text)
+    monkeypatch.setattr(toxicity, "LONG", 3)
+    for piece in (1, 50):
+        monkeypatch.setattr(common, "PIECE", piece)
+        assert toxicity.Model(dict(words), {}).scan(text) == whole
+
+
 def test_odds_are_those_of_occurrences(spark):
     line = "all the same words are in both kinds of text here"
     rows = [(i, " ".join([line, *["vex"] * (8 if i % 2 else 1)])) for i in range(80)]

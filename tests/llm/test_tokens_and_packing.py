@@ -4,7 +4,7 @@ import zlib
 import numpy as np
 import pytest
 
-from gleaner.llm import mixing, packing, separators, tokenfile
+from gleaner.llm import common, mixing, packing, separators, tokenfile
 from gleaner.llm.tokens import Encoder, public
 
 BYTES, WORDS = public("byte_bpe_50k.json"), public("word_bpe_49k.json")
@@ -28,7 +28,9 @@ def some(n=120, seed=0):
 
 
 @pytest.mark.parametrize("path", [BYTES, WORDS])
-def test_encoder_equals_the_library(path):
+@pytest.mark.parametrize("piece", [1 << 22, 1, 17])
+def test_encoder_equals_the_library(path, piece, monkeypatch):
+    monkeypatch.setattr(common, "PIECE", piece)
     e = Encoder(path)
     for _ in range(2):  # the second time from the caches
         for t in ODD + [" ".join(ODD)] + [t for _, t, _ in some(30) if t]:
