@@ -33,7 +33,7 @@ from .components import components
 BITS = 2
 SHINGLE = 3
 #: Entries of a node of the index, and (query, node) pairs at a time.
-FANOUT, FRONTIER = 8, 1 << 20
+FANOUT, FRONTIER = 8, 1 << 17
 #: Bits of the blocks that key the three tables, and of the parts by which a block is dealt again that many fingerprints share.
 BLOCKS, PARTS = (21, 21, 22), (14, 14)
 HOT = 100_000

@@ -8,6 +8,7 @@ own model; everything else goes to the whole tokenizer. Both caches are bounded.
 
 from __future__ import annotations
 
+import contextlib
 import json
 import os
 import re
@@ -20,7 +21,7 @@ import numpy as np
 from .common import pieces
 
 #: Entries in the young half of each cache; a full one becomes the old half, from which what is met again comes back.
-CACHE = 350_000
+CACHE = 250_000
 #: Seconds without work after which the caches are emptied.
 IDLE = 4.0
 
@@ -151,12 +152,21 @@ class Encoder:
         return b"".join(out)
 
 
+def _trim() -> None:
+    """Give freed memory back to the system, where the C library can."""
+    import ctypes
+
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def _watch(coder: Encoder) -> None:
     """Workers outlive the steps that encode: give the caches' memory back when nothing has been encoded for a while."""
     while True:
         time.sleep(IDLE)
         if coder.words and time.monotonic() - coder.used > IDLE:
             coder.forget()
+            _trim()
 
 
 def encoder(path: str) -> Encoder:
