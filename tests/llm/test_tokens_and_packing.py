@@ -4,7 +4,7 @@ import zlib
 import numpy as np
 import pytest
 
-from gleaner.llm import common, mixing, packing, separators, tokenfile
+from gleaner.llm import common, mixing, packing, separators, tokenfile, tokens
 from gleaner.llm.tokens import Encoder, public
 
 BYTES, WORDS = public("byte_bpe_50k.json"), public("word_bpe_49k.json")
@@ -38,6 +38,21 @@ def test_encoder_equals_the_library(path, piece, monkeypatch):
     assert len(e.ids(None)) == 0
 
 
+@pytest.mark.parametrize("path", [BYTES, WORDS])
+def test_latin_texts_are_split_without_the_whole_tokenizer(path, monkeypatch):
+    monkeypatch.setattr(tokens, "CACHE", 50)  # the halves change places
+    signs = [chr(c) for c in (*range(0x180), *range(0x2010, 0x205F)) if not tokens._ODD.search(chr(c))]
+    assert len(signs) > 400
+    texts = [x for c in signs for x in (c, f"a{c}B", f"1{c}2", f" {c}  {c}", f"{c}{c}'s\n{c}")]
+    rng = np.random.default_rng(3)
+    texts += ["".join(rng.choice([*"aZé09 \n\t'.,!_-sÑ", "  ", "'ll", "…"], int(rng.integers(1, 20)))) for _ in range(3000)]
+    e, reference = Encoder(path), Encoder(path).whole
+    monkeypatch.setattr(e, "whole", None)
+    for t in texts:
+        assert e.ids(t).tolist() == reference.encode(t, add_special_tokens=False).ids, t
+    assert len(e.pieces) <= 100 and len(e.pieces.old) <= 100
+
+
 def test_code_round_trip():
     rng = np.random.default_rng(0)
     for n in (0, 1, 3, 4, 5, 1000):
