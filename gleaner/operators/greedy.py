@@ -2,8 +2,13 @@
 
 Each configuration is reduced once to G = X~'X~ and v = X~'y~. With A the normal matrix and b the moments of the rows chosen so
 far, a configuration's block score is g' (A +- G)^-1 g with g = G beta - v, the same number as r' (I +- H)^-1 H r over its
-rows; taking it moves A by G and b by v. Scores of energy rows need only those rows. What is left per step is a scan
-over compressed candidates: on the driver while they fit there, by one aggregate job per step otherwise.
+rows; taking it moves A by G and b by v. Scores of energy rows need only those rows. What is left is a search of the best
+among compressed candidates, which are on the driver while they fit there, on the executors otherwise.
+
+A step does not score all of them. A scan keeps a few near the top, and for the others the root of the score and the most that
+it can change while the coefficients move by d in the norm of A: |G d| in the norm of (A +- G)^-1 is at most h / sqrt(1 +- h) d
+with h the trace of A^-1 G, and rows that come only shrink that norm, as rows that go only widen it. Steps choose among the few,
+exactly, until the others' bound reaches the best of them; then all are scanned again. Where A is near singular every step scans.
 
 A step's update follows the chosen method: rows that have G as their sum (``factor.root``) are appended to a triangle (qr) or
 change the inverse by their rank (woodbury). With ``svd`` small singular values are left out of coefficients and scores.
@@ -15,20 +20,23 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .factor import Factor, fold, gram_columns, root, stacked, woodbury
-from .frame import width
+from .frame import members, width
 
 #: Bytes of compressed candidates that the driver may hold.
 DRIVER = 256 << 20
 #: Features up to which sums per configuration are plain aggregates.
 PLAIN = 8
-#: Steps after which A and b are summed up anew instead of updated.
+#: Steps after which the factor is made anew from A and b instead of updated.
 REFRESH = 200
+#: Candidates first kept in sight between two scans, on the driver and on the executors, and the bytes they may grow to.
+FEW, FEW_SPREAD, FEW_BYTES = 256, 4096, 16 << 20
+#: Growth of a score that has no bound.
+UNBOUNDED = 1e150
 
 
 def _packed(p: int):
@@ -66,22 +74,209 @@ def statistics(frame: DataFrame, p: int) -> DataFrame:
     return rows.select("config_id", F.slice(values, 1, p * p).alias("g"), F.slice(values, p * p + 1, p).alias("v"))
 
 
+def _along(columns: list[np.ndarray], weights) -> np.ndarray:
+    """A sum of products, one element at a time: equal candidates get equal numbers wherever they stand."""
+    total = columns[0] * weights[0]
+    for c, w in zip(columns[1:], weights[1:]):
+        total = total + c * w
+    return total
+
+
+def _forms(q: list[np.ndarray], m: np.ndarray, svd: bool) -> tuple[np.ndarray, np.ndarray]:
+    """q' M^-1 q of many small matrices by LDL', and where that is sound (with ``svd``: and nothing would be left out)."""
+    p = m.shape[1]
+    low: list[list[np.ndarray]] = []
+    d: list[np.ndarray] = []
+    z: list[np.ndarray] = []
+    total, sound = np.zeros(len(m)), np.ones(len(m), bool)
+    for i in range(p):
+        part: list[np.ndarray] = []  # l_ik d_k
+        row: list[np.ndarray] = []
+        for k in range(i):
+            x = m[:, i, k]
+            for j in range(k):
+                x = x - part[j] * low[k][j]
+            part.append(x)
+            row.append(x / d[k])
+        pivot, rest = m[:, i, i], q[i]
+        for k in range(i):
+            pivot, rest = pivot - part[k] * row[k], rest - row[k] * z[k]
+        sound &= pivot > 1e-10 * m[:, i, i]
+        low.append(row)
+        d.append(pivot)
+        z.append(rest)
+        total = total + rest * rest / pivot
+    if svd and p > 1:
+        trace = np.trace(m, axis1=1, axis2=2)
+        least = np.prod([x * (p - 1) / trace for x in d[1:]], axis=0) * d[0]
+        sound &= least > 1e-9 * trace
+    return total, sound
+
+
 def block_scores(g: np.ndarray, v: np.ndarray, a: np.ndarray, beta: np.ndarray, add: bool, svd: bool = False) -> np.ndarray:
     """Scores of many configurations: g (n, p, p), v (n, p)."""
-    q = g @ beta - v
+    m, p = a + g if add else a - g, len(a)
+    if p > PLAIN:
+        return _solved(g @ beta - v, m, svd)
+    q = [_along([g[:, i, j] for j in range(p)], beta) - v[:, i] for i in range(p)]
+    with np.errstate(all="ignore"):
+        scores, sound = _forms(q, m, svd)
+    if not sound.all():
+        scores[~sound] = _solved(np.stack(q, axis=1)[~sound], m[~sound], svd)
+    return scores
+
+
+def _solved(q: np.ndarray, m: np.ndarray, svd: bool) -> np.ndarray:
     if svd:
-        inverse = np.linalg.pinv(a + g if add else a - g, rcond=a.shape[0] * 1e-15, hermitian=True)
-        return np.einsum("ni,nij,nj->n", q, inverse, q)
-    return np.einsum("ni,ni->n", q, np.linalg.solve(a + g if add else a - g, q[..., None])[..., 0])
+        return np.einsum("ni,nij,nj->n", q, np.linalg.pinv(m, rcond=m.shape[1] * 1e-15, hermitian=True), q)
+    return np.einsum("ni,ni->n", q, np.linalg.solve(m, q[..., None])[..., 0])
+
+
+def _leverages(x: np.ndarray, inverse: np.ndarray) -> np.ndarray:
+    p = len(inverse)
+    if p > PLAIN:
+        return np.einsum("ni,ij,nj->n", x, inverse, x)
+    columns = [x[:, i] for i in range(p)]
+    return sum(c * _along(columns, inverse[i]) for i, c in enumerate(columns))
 
 
 def energy_scores(x: np.ndarray, y: np.ndarray, inverse: np.ndarray, beta: np.ndarray) -> np.ndarray:
     """e^2 h / (1 + h) of weighted rows, whether rows come or go."""
-    h = np.einsum("ni,ij,nj->n", x, inverse, x)
-    e = x @ beta - y
+    h = _leverages(x, inverse)
+    e = (x @ beta if len(beta) > PLAIN else _along([x[:, i] for i in range(len(beta))], beta)) - y
     return e * e * h / (1 + h)
 
 
+@dataclass
+class View:
+    """What scores depend on at some step, without the factor: small enough to be sent to tasks."""
+
+    a: np.ndarray
+    beta: np.ndarray
+    inverse: np.ndarray | None
+    add: bool
+    svd: bool
+    #: The inverse of A as bounds use it, none where A is near singular.
+    norm: np.ndarray | None = None
+    #: Rounding of a bound, as a share.
+    slack: float = 1e-9
+
+    @classmethod
+    def of(cls, state: State, add: bool, block: bool, bounds: bool) -> View:
+        view = cls(state.a, state.beta(), None if block else state.inverse(), add, state.svd)
+        if bounds:
+            with np.errstate(all="ignore"):
+                values, vectors = np.linalg.eigh(view.a)
+                if values[0] > 1e-10 * values[-1] and np.isfinite(view.beta).all():
+                    view.norm = (vectors / values) @ vectors.T
+                    view.slack += 1e-14 * len(values) * values[-1] / values[0]
+        return view
+
+    def drift(self, now: View) -> float | None:
+        """How far the coefficients have moved, rounding of scores included; none if bounds hold no longer."""
+        if not self.add and np.sum(self.norm * (self.a - now.a)) > 0.4:
+            return None
+        length = lambda x: float(np.sqrt(max(x @ self.a @ x, 0.0)))
+        return length(now.beta - self.beta) + 1e-12 * length(now.beta)
+
+
+@dataclass
+class Blocks:
+    """Configurations, by id."""
+
+    ids: np.ndarray
+    g: np.ndarray
+    v: np.ndarray
+
+    def take(self, at: np.ndarray) -> Blocks:
+        return Blocks(self.ids[at], self.g[at], self.v[at])
+
+    def scores(self, view: View) -> np.ndarray:
+        return block_scores(self.g, self.v, view.a, view.beta, view.add, view.svd)
+
+    def growth(self, view: View) -> np.ndarray:
+        h = np.maximum(self.g.reshape(len(self.g), -1) @ view.norm.ravel(), 0.0)
+        if view.add:
+            return h / np.sqrt(1 + h)
+        return np.where(h < 0.5, h / np.sqrt(np.maximum(1 - h, 0.5)), UNBOUNDED)
+
+
+@dataclass
+class Rows:
+    """Weighted energy rows, by configuration id."""
+
+    ids: np.ndarray
+    x: np.ndarray
+    y: np.ndarray
+
+    def take(self, at: np.ndarray) -> Rows:
+        return Rows(self.ids[at], self.x[at], self.y[at])
+
+    def scores(self, view: View) -> np.ndarray:
+        return energy_scores(self.x, self.y, view.inverse, view.beta)
+
+    def growth(self, view: View) -> np.ndarray:
+        h = np.maximum(_leverages(self.x, view.norm), 0.0)
+        return h / np.sqrt(1 + h)
+
+
+def blocks(table: pa.Table | pa.RecordBatch, p: int) -> Blocks:
+    ids = table.column("config_id").to_numpy()
+    return Blocks(ids, _flat(table.column("g")).reshape(-1, p, p), _flat(table.column("v")).reshape(-1, p))
+
+
+def energy_rows(table: pa.Table | pa.RecordBatch, p: int) -> Rows:
+    w = _numbers(table.column("w"))
+    return Rows(table.column("config_id").to_numpy(), _flat(table.column("features")).reshape(-1, p) * w[:, None], _numbers(table.column("y")) * w)
+
+
+def _numbers(column) -> np.ndarray:
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    return np.asarray(column.to_numpy(zero_copy_only=False), np.float64)
+
+
+def _flat(column) -> np.ndarray:
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    return np.asarray(column.flatten().to_numpy(zero_copy_only=False), np.float64)
+
+
+@dataclass
+class Limit:
+    """The most that (signed) roots of scores out of sight reach while coefficients drift: at 0, at ``far`` and beyond."""
+
+    far: float
+    near: float = -np.inf
+    edge: float = -np.inf
+    steep: float = 0.0
+
+    def at(self, drift: float) -> float:
+        if self.near == -np.inf:
+            return -np.inf
+        # a maximum of straight lines lies below its chord
+        if drift <= self.far:
+            return self.near + (self.edge - self.near) * (drift / self.far)
+        return self.edge + self.steep * (drift - self.far)
+
+    def with_(self, other: Limit) -> Limit:
+        return Limit(self.far, max(self.near, other.near), max(self.edge, other.edge), max(self.steep, other.steep))
+
+
+def signed_root(score, add: bool):
+    root_ = np.sqrt(np.maximum(score, 0.0))
+    return root_ if add else -root_
+
+
+def shortlist(scores: np.ndarray, growth: np.ndarray, add: bool, many: int, far: float) -> tuple[np.ndarray, Limit]:
+    """Where the ``many`` are whose scores may get best before ``far``, in order, and a limit for the others."""
+    if many >= len(scores):
+        return np.arange(len(scores)), Limit(far)
+    start = signed_root(scores, add)
+    end = start + growth * far
+    order = np.argpartition(-end, many)
+    rest = order[many:]
+    return np.sort(order[:many]), Limit(far, float(start[rest].max()), float(end[rest].max()), float(growth[rest].max()))
+
+
 @dataclass
 class State:
     """What is chosen, its normal matrix and moments, and the factor by which they move."""
@@ -94,13 +289,15 @@ class State:
     svd: bool = False
     r: np.ndarray | None = None
     inv: np.ndarray | None = None
+    #: What rounding has taken from a and b.
+    lost: tuple = (0.0, 0.0)
 
     def __post_init__(self):
         self.anew(self.a, self.b)
 
     def anew(self, a: np.ndarray, b: np.ndarray) -> None:
         """From sums over all that is chosen."""
-        self.a, self.b, self.inv = a, b, None
+        self.a, self.b, self.inv, self.lost = a, b, None, (0.0, 0.0)
         self.r = fold([root(a)], len(a)) if self.method == "qr" else None
         if self.method == "woodbury" and not self.svd:
             self.inv = np.linalg.inv(a)
@@ -124,22 +321,31 @@ class State:
             self.r = Factor(self.r, self.b).append(x, np.zeros(len(x))).r
         elif self.inv is not None:
             self.inv, _ = woodbury(self.inv, self.b, x, np.zeros(len(x)), add)
-        self.a, self.b = self.a + sign * g, self.b + sign * v
+        (self.a, da), (self.b, db) = _sum(self.a, sign * g), _sum(self.b, sign * v)
+        self.lost = self.lost[0] + da, self.lost[1] + db
+
+    def settle(self) -> None:
+        """The factor anew; A and b are as exact as if they were summed up anew, at any number of steps."""
+        self.anew(self.a + self.lost[0], self.b + self.lost[1])
+
+
+def _sum(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A sum and its rounding error."""
+    s = a + b
+    t = s - a
+    return s, (a - (s - t)) + (b - t)
 
 
 class Local:
     """Candidates in the driver's memory."""
 
-    def __init__(self, stats: pd.DataFrame, energy: pd.DataFrame, p: int):
-        stats = stats.sort_values("config_id", ignore_index=True)
-        self.ids = stats["config_id"].to_numpy()
-        self.g = np.stack(stats["g"].to_numpy()).reshape(-1, p, p)
-        self.v = np.stack(stats["v"].to_numpy())
-        energy = energy.sort_values(["config_id", "row_id"], ignore_index=True)
-        self.e_ids = energy["config_id"].to_numpy()
-        w = energy["w"].to_numpy()[:, None]
-        self.e_x = np.stack(energy["features"].to_numpy()) * w if len(energy) else np.zeros((0, p))
-        self.e_y = energy["y"].to_numpy() * w[:, 0]
+    few = FEW
+
+    def __init__(self, stats: pa.Table, energy: pa.Table, p: int):
+        self.pools = {True: blocks(stats.sort_by("config_id"), p), False: energy_rows(energy.sort_by([("config_id", "ascending"), ("row_id", "ascending")]), p)}
+        self.ids, self.g, self.v = self.pools[True].ids, self.pools[True].g, self.pools[True].v
+        self.e_ids = self.pools[False].ids
+        self._seen: tuple = (None, None, 0)
 
     def total(self, chosen: set[int]) -> tuple[np.ndarray, np.ndarray]:
         own = np.isin(self.ids, list(chosen))
@@ -149,25 +355,40 @@ class Local:
         return int(np.isin(self.e_ids, list(chosen)).sum())
 
     def release(self) -> None:
-        pass
-
-    def block(self, i: int) -> tuple[np.ndarray, np.ndarray]:
-        k = int(np.searchsorted(self.ids, i))
-        return self.g[k], self.v[k]
-
-    def best(self, state: State, add: bool, block: bool) -> tuple[int, float] | None:
-        ids = self.ids if block else self.e_ids
-        allowed = np.isin(ids, list(state.chosen)) != add
-        if not allowed.any():
+        self._seen = (None, None, 0)
+
+    def size(self, block: bool) -> int:
+        return len(self.pools[block].ids)
+
+    def _inside(self, state: State, block: bool) -> np.ndarray:
+        """Which candidates are chosen: counted once, then moved step by step."""
+        owner, inside, steps = self._seen
+        ids = self.pools[block].ids
+        if owner is not state:
+            inside, steps = np.isin(ids, list(state.chosen)), len(state.steps)
+        for _, i, _ in state.steps[steps:]:
+            inside[np.searchsorted(ids, i) : np.searchsorted(ids, i, "right")] = i in state.chosen
+        self._seen = state, inside, len(state.steps)
+        return inside
+
+    def scan(self, state: State, view: View, block: bool, many: int, far: float) -> tuple[tuple[int, float], Blocks | Rows, Limit | None, Blocks] | None:
+        """The best of all, and the few that are best from here on: (best, few, limit of the others, what they move)."""
+        at = np.flatnonzero(self._inside(state, block) != view.add)
+        if not len(at):
             return None
-        beta = state.beta()
-        if block:
-            scores = block_scores(self.g[allowed], self.v[allowed], state.a, beta, add, state.svd)
-        else:
-            scores = energy_scores(self.e_x[allowed], self.e_y[allowed], state.inverse(), beta)
+        pool = self.pools[block].take(at)
+        scores = pool.scores(view)
         # the first of equal scores has the smallest id
-        k = int(np.argmax(scores) if add else np.argmin(scores))
-        return int(ids[allowed][k]), float(scores[k])
+        k = int(np.argmax(scores) if view.add else np.argmin(scores))
+        best = int(pool.ids[k]), float(scores[k])
+        if view.norm is None or np.isnan(scores).any():
+            few, limit = np.array([k]), None
+        else:
+            few, limit = shortlist(scores, pool.growth(view), view.add, many, far)
+        kept = pool.take(few)
+        # the best is among what moves, whether it is among the few or not
+        moved = np.searchsorted(self.ids, np.unique(np.append(kept.ids, best[0])))
+        return best, kept, limit, self.pools[True].take(moved)
 
 
 class Spread:
@@ -177,8 +398,10 @@ class Spread:
     REFRESH changes the column is made anew.
     """
 
-    def __init__(self, stats: DataFrame, energy: DataFrame, p: int):
-        self.plain, self.p = {"stats": stats, "energy": energy}, p
+    few = FEW_SPREAD
+
+    def __init__(self, stats: DataFrame, energy: DataFrame, p: int, sizes: tuple[int, int]):
+        self.plain, self.p, self.sizes = {"stats": stats, "energy": energy}, p, sizes
         self.base: set[int] | None = None
         self.tables: dict[str, DataFrame] = {}
 
@@ -218,39 +441,128 @@ class Spread:
     def energy_rows(self, chosen: set[int]) -> int:
         return self._in("energy", chosen, True).count()
 
-    def block(self, i: int) -> tuple[np.ndarray, np.ndarray]:
-        r = self.tables["stats"].where(F.col("config_id") == i).first()
-        return np.array(r["g"]).reshape(self.p, self.p), np.array(r["v"])
-
-    def best(self, state: State, add: bool, block: bool) -> tuple[int, float] | None:
-        p, beta = self.p, state.beta()
-        inverse, a, svd = state.inverse(), state.a, state.svd
-        frame = self._in("stats" if block else "energy", state.chosen, not add)
-
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for d in batches:
-                if not len(d):
-                    continue
-                if block:
-                    s = block_scores(np.stack(d["g"]).reshape(-1, p, p), np.stack(d["v"]), a, beta, add, svd)
-                else:
-                    w = d["w"].to_numpy()
-                    s = energy_scores(np.stack(d["features"]) * w[:, None], d["y"].to_numpy() * w, inverse, beta)
-                d = pd.DataFrame({"config_id": d["config_id"], "score": s}).sort_values(["score", "config_id"], ascending=[not add, True])
-                yield d.head(1)
-
-        found = frame.mapInPandas(run, "config_id long, score double")
-        r = found.orderBy(F.desc("score") if add else F.asc("score"), "config_id").first()
-        return None if r is None else (r["config_id"], r["score"])
+    def size(self, block: bool) -> int:
+        return self.sizes[not block]
+
+    def scan(self, state: State, view: View, block: bool, many: int, far: float) -> tuple[tuple[int, float], Blocks | Rows, Limit | None, Blocks] | None:
+        """As on the driver: each task sends its few and the limit of its others, then the few of all are fetched."""
+        p, read = self.p, blocks if block else energy_rows
+        frame = self._in("stats" if block else "energy", state.chosen, not view.add)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            ids, scores, growth = [], [], []
+            for b in batches:
+                if b.num_rows:
+                    pool = read(b, p)
+                    ids.append(pool.ids)
+                    scores.append(pool.scores(view))
+                    growth.append(pool.growth(view) if view.norm is not None else np.zeros(len(pool.ids)))
+            if not ids:
+                return
+            ids, scores, growth = np.concatenate(ids), np.concatenate(scores), np.concatenate(growth)
+            own = np.lexsort((ids, -scores if view.add else scores))[:1]
+            if view.norm is None or np.isnan(scores).any():
+                few, limit = own[:0], Limit(far, np.nan, np.nan, np.nan)
+            else:
+                few, limit = shortlist(scores, growth, view.add, many, far)
+            at = np.append(few, own)
+            columns = [ids[at], scores[at], growth[at]] + [np.full(len(at), x) for x in (limit.near, limit.edge, limit.steep)]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["config_id", "score", "growth", "near", "edge", "steep"])
+
+        found = frame.mapInArrow(run, "config_id long, score double, growth double, near double, edge double, steep double").toArrow()
+        if not found.num_rows:
+            return None
+        ids = found.column("config_id").to_numpy()
+        scores, growth, near, edge, steep = (_numbers(found.column(c)) for c in ("score", "growth", "near", "edge", "steep"))
+        k = np.lexsort((ids, -scores if view.add else scores))[0]
+        best = int(ids[k]), float(scores[k])
+        limit, keep = None, np.array([k])
+        if not np.isnan(near).any():
+            keep, limit = shortlist(scores, growth, view.add, many, far)
+            limit = limit.with_(Limit(far, float(near.max()), float(edge.max()), float(steep.max())))
+        wanted = np.unique(np.append(ids[keep], best[0]))
+        spark = frame.sparkSession
+        some = F.broadcast(spark.createDataFrame(pa.table({"config_id": wanted})))
+        moved = blocks(members(self.tables["stats"], some).select("config_id", "g", "v").toArrow().sort_by("config_id"), p)
+        if block:
+            return best, moved, limit, moved
+        rows = members(self.tables["energy"], some).select("row_id", "config_id", "features", "w", "y").toArrow()
+        return best, energy_rows(rows.sort_by([("config_id", "ascending"), ("row_id", "ascending")]), p), limit, moved
 
 
 def candidates(frame: DataFrame, p: int, limit: int = DRIVER) -> Local | Spread:
     stats = statistics(frame, p)
     energy = frame.where("is_energy").select("row_id", "config_id", "features", "w", "y")
-    n = frame.select("config_id").distinct().count() + energy.count()
-    if n * (p * p + p) * 8 <= limit:
-        return Local(stats.toPandas(), energy.toPandas(), p)
-    return Spread(stats, energy, p)
+    sizes = frame.select("config_id").distinct().count(), energy.count()
+    if sum(sizes) * (p * p + p) * 8 <= limit:
+        return Local(stats.toArrow(), energy.toArrow(), p)
+    return Spread(stats, energy, p, sizes)
+
+
+class Search:
+    """The best candidate of each step, by scans of all with many steps between them."""
+
+    def __init__(self, found: Local | Spread, add: bool, block: bool):
+        self.found, self.add, self.block = found, add, block
+        self.many, self.far, self.scans, self.steps = found.few, 0.0, 0, 0
+        self.start: View | None = None
+        self.few: Blocks | Rows | None = None
+        self.limit: Limit | None = None
+        self.moved: Blocks | None = None
+        self.alive: np.ndarray | None = None
+
+    def best(self, state: State) -> tuple[int, float] | None:
+        if self.limit is not None:
+            if (found := self._among(state)) is not None:
+                return found
+            self._adapt(len(state.a))
+        return self._anew(state)
+
+    def sums(self, i: int) -> tuple[np.ndarray, np.ndarray]:
+        """G and v of the one that was found best."""
+        k = int(np.searchsorted(self.moved.ids, i))
+        return self.moved.g[k], self.moved.v[k]
+
+    def _taken(self, i: int) -> None:
+        self.alive[np.searchsorted(self.few.ids, i) : np.searchsorted(self.few.ids, i, "right")] = False
+        self.steps += 1
+
+    def _among(self, state: State) -> tuple[int, float] | None:
+        view = View.of(state, self.add, self.block, False)
+        if (drift := self.start.drift(view)) is None:
+            return None
+        scores = np.where(self.alive, self.few.scores(view), -np.inf if self.add else np.inf)
+        k = int(np.argmax(scores) if self.add else np.argmin(scores))
+        if not self.alive[k] or np.isnan(scores[k]):
+            return None
+        mine, others = float(signed_root(scores[k], self.add)), self.limit.at(drift)
+        if others > -np.inf and mine <= others + self.start.slack * (abs(mine) + abs(others)):
+            self.reached = drift
+            return None
+        self._taken(i := int(self.few.ids[k]))
+        return i, float(scores[k])
+
+    def _adapt(self, p: int) -> None:
+        """As much is scored in steps as in scans; the limit is sharp where the last few were used up."""
+        self.far = getattr(self, "reached", 0.0)
+        work, size = self.steps * self.many, self.found.size(self.block)
+        if work < size:
+            self.many *= 2
+        elif work > 4 * size:
+            self.many //= 2
+        self.many = max(FEW, min(self.many, FEW_BYTES // (8 * (p * p + p))))
+
+    def _anew(self, state: State) -> tuple[int, float] | None:
+        self.start = View.of(state, self.add, self.block, True)
+        found = self.found.scan(state, self.start, self.block, self.many, max(self.far, 1e-30))
+        self.scans += 1
+        if found is None:
+            self.limit = None
+            return None
+        best, self.few, self.limit, self.moved = found
+        self.alive, self.steps = np.ones(len(self.few.ids), bool), 0
+        self._taken(best[0])
+        return best
 
 
 def stepwise(
@@ -274,15 +586,16 @@ def stepwise(
     n = found.energy_rows(state.chosen)
     if strict and (n > k if ascending else n < k):
         raise ValueError(f"{n} chosen at the start, {k} wanted: no step in this direction leads there")
-    for step in range(n, k, 1 if ascending else -1):
-        best = found.best(state, ascending, block)
+    search = Search(found, ascending, block)
+    for _ in range(n, k, 1 if ascending else -1):
+        best = search.best(state)
         if best is None:
             break
         i, score = best
-        state.move(i, *found.block(i), ascending)
+        state.move(i, *search.sums(i), ascending)
         state.steps.append((len(state.steps) + 1, i, score))
         if len(state.steps) % REFRESH == 0:
-            state.anew(*found.total(state.chosen))
+            state.settle()
     return state
 
 

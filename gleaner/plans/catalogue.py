@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -489,7 +490,8 @@ SELECT step::INT AS step, config_id FROM loop WHERE step > 0"""
 def _stepwise(spark: SparkSession, sf_dir: str, block: bool, add: bool, initial: float, final: float, start: str = "random", **how) -> DataFrame:
     s = CooksSampler(T.events(spark, sf_dir), seed=0, block=block, stepwise=True, ascending=add, initial=start, initial_fraction=initial, features=2, **how)
     s.choose(final, 5)
-    return spark.createDataFrame([(k, i) for k, i, _ in s.state.steps], "step int, config_id long")
+    steps = pa.table({"step": pa.array([k for k, _, _ in s.state.steps], pa.int32()), "config_id": pa.array([i for _, i, _ in s.state.steps], pa.int64())})
+    return spark.createDataFrame(steps)
 
 
 @query(_stepwise_sql(False, True, 0.1, 0.2))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .functions.draws import half_even
@@ -15,6 +16,10 @@ from .operators.frame import config_ids, members, others, width
 Selector = Callable[[DataFrame, int, int], DataFrame]
 
 
+def id_set(ids: DataFrame) -> set[int]:
+    return set(ids.select("config_id").toArrow().column(0).to_pylist())
+
+
 class Study:
     """A frame split by configuration; fits and errors of the whole training part.
 
@@ -234,7 +239,7 @@ class CooksSampler(Sampler):
             ids = score.uniform_draw(self.train_ids, k, seed, total=self.n_train)
         else:
             ids = score.weighted_draw(score.config_leverage(self.train, self.block, self.factor()), k, seed)
-        return {r["config_id"] for r in ids.collect()}
+        return id_set(ids)
 
     def select(self, k: int, seed: int) -> DataFrame:
         if not self.stepwise:
@@ -242,9 +247,9 @@ class CooksSampler(Sampler):
             return score.weighted_draw(scores, k, seed) if self.sampling else score.top(scores, k)
         if self._found is None:
             self._found = greedy.candidates(self.train, self.p)
-        before = {r["config_id"] for r in self.chosen.collect()} if self.chosen is not None else self.start(seed)
+        before = id_set(self.chosen) if self.chosen is not None else self.start(seed)
         self.state = greedy.stepwise(self.train, k, before, self.block, self.ascending, self.strict, self._found, self.update, self.svd)
-        return self.frame.sparkSession.createDataFrame([(i,) for i in sorted(self.state.chosen)], "config_id long")
+        return self.frame.sparkSession.createDataFrame(pa.table({"config_id": np.sort(np.fromiter(self.state.chosen, np.int64))}))
 
 
 __all__ = ["CooksSampler", "LeverageSampler", "Sampler", "Study"]
