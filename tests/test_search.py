@@ -10,6 +10,7 @@ from .data import arrays, frame
 #: The registered queries, by direction, kind of score, update and factorization.
 WAYS = {
     "stepwise_desc_block_svd": (False, True, "auto", True),
+    "stepwise_desc_block": (False, True, "auto", False),
 }
 
 
