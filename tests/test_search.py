@@ -11,6 +11,7 @@ from .data import arrays, frame
 WAYS = {
     "stepwise_desc_block_svd": (False, True, "auto", True),
     "stepwise_desc_block": (False, True, "auto", False),
+    "stepwise_asc_block": (True, True, "auto", False),
 }
 
 
