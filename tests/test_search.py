@@ -12,6 +12,7 @@ WAYS = {
     "stepwise_desc_block_svd": (False, True, "auto", True),
     "stepwise_desc_block": (False, True, "auto", False),
     "stepwise_asc_block": (True, True, "auto", False),
+    "stepwise_asc_block_woodbury": (True, True, "woodbury", False),
 }
 
 
