@@ -15,6 +15,7 @@ WAYS = {
     "stepwise_asc_block_woodbury": (True, True, "woodbury", False),
     "stepwise_asc_block_leverage_start": (True, True, "auto", False),
     "stepwise_asc_energy": (True, False, "auto", False),
+    "stepwise_asc_energy_qr": (True, False, "qr", False),
 }
 
 
