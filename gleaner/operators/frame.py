@@ -97,6 +97,15 @@ def row_counts(frame: DataFrame) -> DataFrame:
     return frame.groupBy("config_id").agg(F.count(F.lit(1)).alias("n_rows"))
 
 
+#: Rows that a task sorts or groups where a shuffle is of a size of our own.
+TASK = 1_000_000
+
+
+def tasks_for(rows: DataFrame) -> int:
+    """Tasks of a shuffle of all rows: as many as the session asks for, more where each would get over TASK rows."""
+    return max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows.count() // TASK))
+
+
 #: Rows of a cell when an order over all rows is cut into ranges, and the most cells.
 CELL, CELLS = 100_000, 1024
 

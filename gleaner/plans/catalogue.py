@@ -111,7 +111,7 @@ def partition_ranges_skewed(spark: SparkSession, sf_dir: str) -> DataFrame:
 def split_config_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A partitioning by hash of the configuration splits none; one by the rows' places splits all but the smallest."""
     f = T.lineitem(spark, sf_dir)
-    by_hash = frames_of.split_configs(f.repartition("config_id").withColumn("part", F.spark_partition_id()), F.col("part"))
+    by_hash = frames_of.split_configs(f.repartition(frames_of.tasks_for(f), "config_id").withColumn("part", F.spark_partition_id()), F.col("part"))
     by_place = frames_of.split_configs(f, F.col("row_id") % 3)
     return by_hash.select(F.lit("by hash").alias("partitioning"), "*").unionByName(by_place.select(F.lit("by place").alias("partitioning"), "*"))
 

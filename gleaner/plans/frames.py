@@ -7,7 +7,7 @@ import warnings
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators.frame import build
+from ..operators.frame import build, tasks_for
 
 
 def _with_energy_weights(frame: DataFrame, heavy: float) -> DataFrame:
@@ -29,6 +29,7 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
 def lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
     """FL: lines by order; price against quantity and discount; the first line in a fixed order is the energy row."""
     t = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity", "l_discount")
+    t = t.repartition(tasks_for(t), "l_orderkey")  # the window sorts a task's rows
     place = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity"))
     t = t.withColumn("place", place).withColumn("row", F.col("l_orderkey") * 1000 + F.col("place"))
     x = F.array(F.col("l_quantity") / 10, F.col("l_discount") * 10)

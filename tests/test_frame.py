@@ -137,3 +137,16 @@ def test_generator(spark):
     x, y = np.stack(a["features"]), a["y"].to_numpy()
     beta = np.linalg.lstsq(x, y, rcond=None)[0]
     assert np.abs(x @ beta - y).max() < 0.1 and abs(x.std() - 1) < 0.2
+
+
+def test_tasks_of_lineitem_grow_with_its_rows(spark, sf, monkeypatch):
+    """No task sorts or groups more rows than it may, whatever the session's number of shuffle partitions."""
+    from gleaner.operators import frame as module
+    from gleaner.plans import catalogue, frames
+
+    want = {tuple(r) for r in catalogue.split_config_check(spark, sf).collect()}
+    monkeypatch.setattr(module, "TASK", 200, raising=False)
+    f = frames.lineitem(spark, sf)
+    sizes = [n for n in f.select("row_id").rdd.mapPartitions(lambda rows: [sum(1 for _ in rows)]).collect()]
+    assert len(sizes) == -(-sum(sizes) // 200) and max(sizes) < 600
+    assert want and {tuple(r) for r in catalogue.split_config_check(spark, sf).collect()} == want
