@@ -126,8 +126,7 @@ def npy_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
     numbered = _numbered(f)
     folder = containers.scratch(spark)
     paths = {c: f"{folder}/{c}.npy" for c in ("features", "y", "w", "config_id", "is_energy")}
-    for c, path in paths.items():
-        npy.save(numbered, path, c, "place")
+    npy.save_all(numbered, paths, "place")
     rows = npy.observations(spark, paths["features"], paths["y"], paths["w"], paths["config_id"], paths["is_energy"])
     frame = frames_of.build(rows, "features", config_id="config_id", is_energy="is_energy", y="y", w="w", intercept=False)
     sums = frame.groupBy("config_id").agg(F.count(F.lit(1)).alias("n_rows"), F.count_if("is_energy").alias("n_energy"), F.sum("y").alias("y"), F.sum("w").alias("w"), F.sum(F.get("features", F.lit(1))).alias("x1"))

@@ -59,6 +59,18 @@ class Rows(InputPartition):
     end: int
 
 
+def _kind(h: Header) -> str:
+    kind = np.dtype(h.dtype)
+    return "long" if kind.kind in "iu" else "boolean" if kind.kind == "b" else "float" if kind.itemsize == 4 else "double"
+
+
+def _plain(x: np.ndarray) -> np.ndarray:
+    """Numbers of a type that Spark has."""
+    if x.dtype.kind in "iu":
+        return x.astype(np.int64)
+    return x.astype(np.float64) if x.dtype.kind == "f" and x.dtype.itemsize not in (4, 8) else x
+
+
 class NpySource(DataSource):
     @classmethod
     def name(cls) -> str:
@@ -66,8 +78,9 @@ class NpySource(DataSource):
 
     def schema(self) -> str:
         h = header(self.options["path"])
-        kind = "long" if np.dtype(h.dtype).kind in "iu" else "boolean" if np.dtype(h.dtype).kind == "b" else "float" if np.dtype(h.dtype).itemsize == 4 else "double"
-        return f"row_id long, values array<{kind}>" if len(h.shape) > 1 else f"row_id long, value {kind}"
+        own = f"values array<{_kind(h)}>" if len(h.shape) > 1 else f"value {_kind(h)}"
+        others = [f"{name} {_kind(header(path))}" for name, path in json.loads(self.options.get("others", "[]"))]
+        return ", ".join(["row_id long", own, *others])
 
     def reader(self, schema) -> DataSourceReader:
         return NpyReader(self.options)
@@ -77,30 +90,31 @@ class NpyReader(DataSourceReader):
     def __init__(self, options):
         self.path = options["path"]
         self.ranges = json.loads(options["ranges"]) if "ranges" in options else None
+        self.others = [tuple(x) for x in json.loads(options.get("others", "[]"))]
 
     def partitions(self) -> list[Rows]:
         if self.ranges is not None:
             return [Rows(a, b) for a, b in self.ranges]
-        h = header(self.path)
-        row = max(1, int(np.prod(h.shape[1:], dtype=np.int64)) * np.dtype(h.dtype).itemsize)
-        step = max(1, SPLIT // row)
-        return [Rows(a, min(a + step, h.shape[0])) for a in range(0, h.shape[0], step)] or [Rows(0, 0)]
+        all_ = [header(path) for path in (self.path, *(path for _, path in self.others))]
+        row = max(1, sum(int(np.prod(h.shape[1:], dtype=np.int64)) * np.dtype(h.dtype).itemsize for h in all_))
+        step, n = max(1, SPLIT // row), min(h.shape[0] for h in all_)
+        return [Rows(a, min(a + step, n)) for a in range(0, n, step)] or [Rows(0, 0)]
 
     def read(self, partition: Rows) -> Iterator[pa.RecordBatch]:
         flat = len(header(self.path).shape) == 1
         for a in range(partition.start, partition.end, BATCH):
-            x = read_range(self.path, a, min(a + BATCH, partition.end))
-            if x.dtype.kind in "iu":
-                x = x.astype(np.int64)
-            elif x.dtype.kind == "f" and x.dtype.itemsize not in (4, 8):
-                x = x.astype(np.float64)
+            end = min(a + BATCH, partition.end)
+            x = _plain(read_range(self.path, a, end))
             ids = pa.array(np.arange(a, a + len(x)))
+            # of a matrix beside the first array, the first column
+            others = [pa.array(np.ascontiguousarray(_plain(read_range(path, a, end)).reshape(len(x), -1)[:, 0])) for _, path in self.others]
+            names = [name for name, _ in self.others]
             if flat:
-                yield pa.RecordBatch.from_arrays([ids, pa.array(x)], ["row_id", "value"])
+                yield pa.RecordBatch.from_arrays([ids, pa.array(x), *others], ["row_id", "value", *names])
             else:
                 x = x.reshape(len(x), -1)
                 values = pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, x.shape[1] or 1, dtype=np.int32)[: len(x) + 1]), pa.array(x.ravel()))
-                yield pa.RecordBatch.from_arrays([ids, values], ["row_id", "values"])
+                yield pa.RecordBatch.from_arrays([ids, values, *others], ["row_id", "values", *names])
 
 
 def save(frame: DataFrame, path: str, column: str, row_id: str = "row_id") -> Header:
@@ -109,11 +123,27 @@ def save(frame: DataFrame, path: str, column: str, row_id: str = "row_id") -> He
     Arrays become a matrix, numbers a vector. The file is laid out first; then each task writes its rows where they belong, so a
     task that runs again writes the same bytes. Paths are those of a file system that driver and executors share.
     """
-    if not path.endswith(".npy"):
-        raise ValueError(f"not a .npy file: {path}")
-    n, last, low, wide = frame.agg(F.count(F.lit(1)), F.max(row_id), F.count_distinct(row_id), F.max(F.size(column)) if frame.schema[column].dataType.typeName() == "array" else F.lit(0)).first()
-    if n and (last != n - 1 or low != n):
-        raise ValueError(f"rows are not numbered from 0 to {n - 1}")
+    return save_all(frame, {column: path}, row_id)[column]
+
+
+def save_all(frame: DataFrame, paths: dict[str, str], row_id: str = "row_id") -> dict[str, Header]:
+    """Columns as array files, as ``save``: the frame is computed and its numbers are checked once for all of them."""
+    for path in paths.values():
+        if not path.endswith(".npy"):
+            raise ValueError(f"not a .npy file: {path}")
+    rows = frame.select(F.col(row_id).cast("long").alias("i"), *[F.col(c).alias(f"v{k}") for k, c in enumerate(paths)]).persist()
+    try:
+        arrays = [k for k, c in enumerate(paths) if frame.schema[c].dataType.typeName() == "array"]
+        n, last, low, *wide = rows.agg(F.count(F.lit(1)), F.max("i"), F.count_distinct("i"), *[F.max(F.size(f"v{k}")) for k in arrays]).first()
+        if n and (last != n - 1 or low != n):
+            raise ValueError(f"rows are not numbered from 0 to {n - 1}")
+        wide = dict(zip(arrays, wide))
+        return {c: _write(frame, rows, path, c, k, n, wide.get(k, 0)) for k, (c, path) in enumerate(paths.items())}
+    finally:
+        rows.unpersist()
+
+
+def _write(frame: DataFrame, rows: DataFrame, path: str, column: str, k: int, n: int, wide: int) -> Header:
     vector = frame.schema[column].dataType.typeName() != "array"
     element = frame.schema[column].dataType.simpleString().removeprefix("array<").removesuffix(">")
     kind = np.dtype({"bigint": "<i8", "int": "<i8", "boolean": "|b1", "float": "<f4", "double": "<f8"}[element])
@@ -137,7 +167,7 @@ def save(frame: DataFrame, path: str, column: str, row_id: str = "row_id") -> He
                         f.write(data[s:e].tobytes())
                 yield pa.RecordBatch.from_pydict({"n": [len(at)]}, pa.schema([("n", pa.int64())]))
 
-    rows = frame.select(F.col(row_id).cast("long").alias("i"), F.col(column).alias("v"))
+    rows = rows.select("i", F.col(f"v{k}").alias("v"))
     written = rows.sortWithinPartitions("i").mapInArrow(write, "n long").agg(F.sum("n")).first()[0] or 0
     if written != n:
         raise ValueError(f"{written} rows written of {n}")
@@ -152,12 +182,12 @@ def load(spark: SparkSession, path: str, ranges: list[tuple[int, int]] | None =
 
 
 def observations(spark: SparkSession, x: str, y: str | None = None, w: str | None = None, config_ids: str | None = None, enrow_mask: str | None = None) -> DataFrame:
-    """Arrays aligned by row as one table: row_id, features and what else is given, joined on the row number."""
-    out = load(spark, x).withColumnRenamed("values", "features")
-    for name, path in (("y", y), ("w", w), ("config_id", config_ids), ("is_energy", enrow_mask)):
-        if path is not None:
-            h = header(path)
-            column = load(spark, path)
-            column = column.select("row_id", (F.get("values", F.lit(0)) if len(h.shape) > 1 else F.col("value")).alias(name))
-            out = out.join(column, "row_id")
-    return out
+    """Arrays aligned by row as one table: row_id, features and what else is given; rows that all arrays have.
+
+    A task reads one row range of all arrays, so that no row is shuffled to meet its others.
+    """
+    given = [("y", y), ("w", w), ("config_id", config_ids), ("is_energy", enrow_mask)]
+    spark.dataSource.register(NpySource)
+    others = json.dumps([[name, path] for name, path in given if path is not None])
+    out = spark.read.format("npy").option("path", x).option("others", others).load()
+    return out.withColumnRenamed("values", "features")

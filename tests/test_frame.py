@@ -150,3 +150,29 @@ def test_tasks_of_lineitem_grow_with_its_rows(spark, sf, monkeypatch):
     sizes = [n for n in f.select("row_id").rdd.mapPartitions(lambda rows: [sum(1 for _ in rows)]).collect()]
     assert len(sizes) == -(-sum(sizes) // 200) and max(sizes) < 600
     assert want and {tuple(r) for r in catalogue.split_config_check(spark, sf).collect()} == want
+
+
+def test_npy_arrays_meet_without_a_join(spark, tmp_path):
+    """Arrays of different lengths are read side by side, as far as the shortest goes; all columns are saved in one go."""
+    from pyspark.sql import functions as F
+
+    rows = spark.range(1000).select("id", F.array(F.col("id") * 2.0).alias("x"), (F.col("id") * 0.5).alias("y"), (F.col("id") % 7).alias("c"))
+    paths = {c: str(tmp_path / f"{c}.npy") for c in ("x", "y", "c")}
+    npy.save(rows, paths["x"], "x", "id")
+    npy.save(rows.where("id < 900"), paths["y"], "y", "id")
+    obs = npy.observations(spark, paths["x"], paths["y"], None, paths["x"])
+    assert "Join" not in obs._jdf.queryExecution().executedPlan().toString()
+    found = obs.orderBy("row_id").collect()
+    assert len(found) == 900 and all(r["features"] == [2.0 * i] and r["y"] == 0.5 * i and r["config_id"] == 2.0 * i for i, r in enumerate(found))
+    assert npy.save_all(rows, paths, "id")["c"].shape == (1000,)
+    assert npy.load(spark, paths["c"]).where("value != row_id % 7").count() == 0
+
+
+def test_cells_of_many_bounds(spark):
+    from gleaner.operators import frame as module
+    from pyspark.sql import functions as F
+
+    for many in (1, 2, 5, 40, 333):
+        bounds = [3 * i for i in range(many)]
+        found = spark.range(-2, 3 * many + 3).select("id", module._below(bounds, F.col("id")).alias("n")).collect()
+        assert all(r["n"] == sum(b < r["id"] for b in bounds) for r in found)
